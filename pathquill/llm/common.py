@@ -111,3 +111,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def map_texts(df: DataFrame, doc_id: str, text: str, columns: str, make, extra: list[str] | None = None) -> DataFrame:
+    """One output row for each document: ``doc_id`` and ``columns``, from ``make()(texts)``.
+
+    ``make`` runs once in each Python worker task and returns a function from a list of texts (null:
+    empty) to a list of columns. Only the needed columns leave the JVM, so others never clash.
+    ``extra`` columns go along and are given to the function as further lists.
+    """
+    extra = extra or []
+    kind = df.schema[doc_id].dataType.simpleString()
+    out = f"doc_id {kind}, {columns}"
+    names = [part.strip().split(" ")[0] for part in out.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = f([x or "" for x in part.column(1).to_pylist()], *(part.column(2 + i).to_pylist() for i in range(len(extra))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=names)
+
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *extra).mapInArrow(run, out)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_codec import op9_bpe_codec
 from .embedding_dedup import op1_embedding_near_dedup
+from .token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op9_bpe_codec": op9_bpe_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {}
