@@ -6,8 +6,7 @@ import functools
 import json
 import re
 import sys
-
-import regex
+import unicodedata
 
 #: Entries that a word cache may hold before it is emptied: bounds a worker's memory, never a result.
 CACHE_ENTRIES = 250_000
@@ -40,16 +39,30 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+# Letters and numbers of Unicode 16, which the tokenizer libraries know and this
+# Python's own character data may not.
+LATER = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 "
+    "113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
+
+
 @functools.cache
 def unicode_class(letter: str) -> str:
-    """Ranges of a character class for a general category letter, by the newest character data at hand."""
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
-    runs = (m.group() for m in regex.finditer(rf"\p{{{letter}}}+", every))
-    return "".join(f"{re.escape(r[0])}-{re.escape(r[-1])}" for r in runs)
+    """Ranges of a regular expression's character class for a general category letter."""
+    later = set()
+    for run in LATER[letter].split():
+        low, high = (int(x, 16) for x in run.split("-"))
+        later.update(c for c in range(low, high + 1) if unicodedata.category(chr(c)) == "Cn")
+    inside = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == letter or c in later]
+    starts = [c for k, c in enumerate(inside) if not k or inside[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(inside) if k + 1 == len(inside) or inside[k + 1] != c + 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
 
 
 #: White space of Unicode, as a character class.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 @functools.cache

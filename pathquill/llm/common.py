@@ -113,6 +113,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+#: Arrow's name for the column types that :func:`map_texts` fills from lists.
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+
+
 def map_texts(df: DataFrame, doc_id: str, text: str, columns: str, make, extra: list[str] | None = None) -> DataFrame:
     """One output row for each document: ``doc_id`` and ``columns``, from ``make()(texts)``.
 
@@ -123,7 +127,9 @@ def map_texts(df: DataFrame, doc_id: str, text: str, columns: str, make, extra:
     extra = extra or []
     kind = df.schema[doc_id].dataType.simpleString()
     out = f"doc_id {kind}, {columns}"
-    names = [part.strip().split(" ")[0] for part in out.split(",")]
+    fields = [part.strip().split(" ") for part in out.split(", ")]
+    names = [name for name, _ in fields]
+    kinds = [ARROW.get(k) for _, k in fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -131,6 +137,6 @@ def map_texts(df: DataFrame, doc_id: str, text: str, columns: str, make, extra:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 made = f([x or "" for x in part.column(1).to_pylist()], *(part.column(2 + i).to_pylist() for i in range(len(extra))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *extra).mapInArrow(run, out)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import op9_bpe_codec
 from .embedding_dedup import op1_embedding_near_dedup
 from .token_counts import op7_token_counts
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op7_token_counts": op7_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }

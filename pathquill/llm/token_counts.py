@@ -25,7 +25,7 @@ class Counter:
         letters, numbers, space = bpe.unicode_class("L"), bpe.unicode_class("N"), bpe.SPACE
         # contractions, letters, numbers, other marks (each with one space before), trailing space, space
         self.words = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-        self.odd_space = re.compile(f" [{space}]|[\t-\r\x85\xa0  -　] ").search
+        self.odd_space = re.compile(f" [{space}]|(?! )[{space}] ").search
         self.runs = re.compile(f"(?<=[^{space}])(?= )").split
         self.by_word = bpe.Cache(self.count_word)
         self.by_piece = bpe.Cache(self.count_piece)
