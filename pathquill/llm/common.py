@@ -23,10 +23,16 @@ def settle(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
     machine) a temporary folder takes its place.
     """
-    sc = df.sparkSession.sparkContext
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for tables between steps."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pathquill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def shuffle_width(spark: SparkSession, rows: int | None = None, rows_per_task: int = 50_000) -> int:

@@ -10,16 +10,20 @@ from .bpe_codec import op9_bpe_codec
 from .decontamination import op5_decontamination
 from .embedding_dedup import op1_embedding_near_dedup
 from .licenses import op8_license_scan
+from .substring_dedup import op4_substring_dedup
+from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op7_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_license_scan": op8_license_scan,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
