@@ -7,12 +7,11 @@ sorted in pairs until they span a window.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import Cache
 from .common import map_texts, table
@@ -20,25 +19,17 @@ from .windows import Symbols, covered, repeated_ranges, with_marks
 
 LENGTH = 35
 GRAM = 8
-SPLIT = re.compile("[^\x20\x09-\x0d]+").findall
-#: Characters that str.split takes as space beside the six that the words' definition names.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
-
 
-def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return SPLIT(text) if OTHER_SPACE(text) else text.split()
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8: bytes.split knows the six ASCII spaces alone."""
+    return text.encode().split() if text else []
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
 
+_hash = Cache(xxhash.xxh3_64_intdigest)
 
-_hash = Cache(word_hash)
 
-
-def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     words = [words_of(t) for t in texts]
     first = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
     h = np.fromiter((x for w in words for x in map(_hash.__getitem__, w)), np.uint64, int(first[-1]))
@@ -47,7 +38,7 @@ def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
 
 def symbols(length: int) -> Symbols:
     gram = min(GRAM, 1 << (length.bit_length() - 1))
-    return Symbols(length, gram, hashes, lambda words, d, a, b: " ".join(words[d][a:b]).encode())
+    return Symbols(length, gram, hashes, lambda words, d, a, b: b" ".join(words[d][a:b]))
 
 
 def sort_windows(packed: list[bytes], length: int) -> list[np.ndarray]:
@@ -88,7 +79,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 words = words_of(t)
                 n.append(len(words))
                 spans.append(covered(m, length, len(words)))
-                kept.append(" ".join(left_over(words, spans[-1])))
+                kept.append(b" ".join(left_over(words, spans[-1])).decode())
             return n, pa.array(spans, pa.list_(pa.list_(pa.int64()))), kept
 
         return run
@@ -97,7 +88,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return map_texts(marked, doc_id, text, "n_words long, spans array<array<bigint>>, kept string", make, ["_marks"])
 
 
-def left_over(words: list[str], spans: list[tuple[int, int]]) -> list[str]:
+def left_over(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
     out, at = [], 0
     for a, b in spans:
         out += words[at:a]
@@ -106,8 +97,6 @@ def left_over(words: list[str], spans: list[tuple[int, int]]) -> list[str]:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
