@@ -167,25 +167,27 @@ def decode_ids(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str
     return map_texts(df.withColumn("_none", F.lit(None).cast("string")), doc_id, "_none", "decoded string", make, [ids])
 
 
-def codec_digests(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: :func:`encode_texts` reduced in the worker."""
+def codec_digests(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for: :func:`encode_texts` reduced in the worker."""
 
     def make():
         codec = Codec(vocabulary)
 
         def run(texts: list[str]):
-            n, a, b = [], [], []
+            n, a, b, every = [], [], [], []
             for t in texts:
                 parts = codec.encode_parts(t)
                 ids = b"".join(i for i, _ in parts)
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(" ".join(x for _, x in parts if x).encode()).hexdigest())
-            return n, a, b
+                if with_ids:
+                    every.append(np.frombuffer(ids, "<u4").astype(np.int64))
+            return (n, a, b, every) if with_ids else (n, a, b)
 
         return run
 
-    return map_texts(df, doc_id, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_texts(df, doc_id, text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids, make)
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from .decontamination import op5_decontamination
 from .embedding_dedup import op1_embedding_near_dedup
 from .language_model import op6_lm_scoring
 from .licenses import op8_license_scan
+from .minhash_dedup import op2_minhash_near_dedup
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op7_token_counts
@@ -18,6 +19,7 @@ from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
