@@ -8,22 +8,29 @@ import re
 import sys
 import unicodedata
 
-#: Entries that a word cache may hold before it is emptied: bounds a worker's memory, never a result.
-CACHE_ENTRIES = 250_000
+#: Entries of one generation of a word cache: bounds a worker's memory, never a result.
+CACHE_ENTRIES = 200_000
 
 
 class Cache(dict):
-    """Values by key, made on the first look-up; emptied when full."""
+    """Values by key, made on the first look-up, in two generations.
+
+    A full generation becomes the old one, from which what is asked for again is taken over; the one
+    before is dropped.
+    """
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.entries:
-            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 200:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 

@@ -7,6 +7,7 @@ their ids concatenated. Fragments are short and recur far more than words do, so
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -36,7 +37,7 @@ class Codec:
         self.control = re.compile("[\x1c-\x1f]").search
         self.spaces = re.compile(f"[{space}]+").split
         self.by_fragment = bpe.Cache(self.encode_fragment, 100_000)
-        self.by_piece = bpe.Cache(self.encode_piece, 150_000)
+        self.by_piece = bpe.Cache(self.encode_piece)
         self.split_added = bpe.added_splitter(self.added).split if self.added else None
 
     def encode_fragment(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
@@ -87,6 +88,12 @@ class Codec:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
+@functools.cache
+def codec_of(path: str) -> Codec:
+    """One codec, with its caches, for all tasks of a worker process."""
+    return Codec(path)
+
+
 def forced_cuts(vocab: dict[str, int], suffix: str) -> bytearray:
     """1 at ``a << 8 | b`` where bytes a, b stand together in no token."""
     byte = {s: b for b, s in enumerate(bpe.byte_symbols())}
@@ -143,7 +150,7 @@ def encode_texts(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     """
 
     def make():
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
 
         def run(texts: list[str]):
             parts = [codec.encode_parts(t) for t in texts]
@@ -159,7 +166,7 @@ def decode_ids(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str
     """``doc_id, decoded`` for rows of token ids; null ids decode to the empty text."""
 
     def make():
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
         return lambda _, rows: [[codec.decode(x or []) for x in rows]]
 
     from pyspark.sql import functions as F
@@ -171,7 +178,7 @@ def codec_digests(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for: :func:`encode_texts` reduced in the worker."""
 
     def make():
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
 
         def run(texts: list[str]):
             n, a, b, every = [], [], [], []

@@ -61,7 +61,7 @@ def sketches(h: np.ndarray) -> list[int]:
     """One key for each hash function: the ``KEEP`` smallest labelled k-mers, in text order."""
     out = []
     for s in range(SKETCHES):
-        x = (h ^ (np.uint64(s + 1) * ODD[1])) * ODD[3]
+        x = (h ^ np.uint64((s + 1) * int(ODD[1]) & (1 << 64) - 1)) * ODD[3]
         x ^= x >> np.uint64(32)
         x *= ODD[0]
         x ^= x >> np.uint64(29)

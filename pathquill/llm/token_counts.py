@@ -7,6 +7,7 @@ the merges. No identifier is emitted. n symbols take O(n log n), so an endless w
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 
@@ -61,6 +62,12 @@ class Counter:
         return sum(1 if part in self.added else self.count_plain(part) for part in self.split_added(text) if part)
 
 
+@functools.cache
+def counter_of(path: str) -> Counter:
+    """One counter, with its caches, for all tasks of a worker process."""
+    return Counter(path)
+
+
 def merges(ids: list[int], pairs: dict[int, tuple[int, int]]) -> int:
     """How many merges byte-pair encoding makes on these symbols; ``ids`` is overwritten."""
     n = len(ids)
@@ -103,7 +110,7 @@ def token_counts(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     """
 
     def make():
-        counter = Counter(vocabulary)
+        counter = counter_of(vocabulary)
 
         def run(texts: list[str]):
             n = [counter.count(t) for t in texts]
