@@ -123,12 +123,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
-def map_texts(df: DataFrame, doc_id: str, text: str, columns: str, make, extra: list[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, doc_id: str, text: str, columns: str, make, extra: list[str] | None = None, read=None) -> DataFrame:
     """One output row for each document: ``doc_id`` and ``columns``, from ``make()(texts)``.
 
     ``make`` runs once in each Python worker task and returns a function from a list of texts (null:
     empty) to a list of columns. Only the needed columns leave the JVM, so others never clash.
-    ``extra`` columns go along and are given to the function as further lists.
+    ``extra`` columns go along and are given to the function as further lists. ``read`` makes texts of the column where
+    it isn't text.
     """
     extra = extra or []
     kind = df.schema[doc_id].dataType.simpleString()
@@ -142,7 +143,7 @@ def map_texts(df: DataFrame, doc_id: str, text: str, columns: str, make, extra:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                made = f([x or "" for x in part.column(1).to_pylist()], *(part.column(2 + i).to_pylist() for i in range(len(extra))))
+                made = f([x or "" for x in (read(part.column(1)) if read else part.column(1).to_pylist())], *(part.column(2 + i).to_pylist() for i in range(len(extra))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *extra).mapInArrow(run, out)

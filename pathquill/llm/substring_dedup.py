@@ -7,15 +7,15 @@ sorted in pairs until they span a window.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Cache
 from .common import map_texts, table
-from .windows import Symbols, covered, repeated_ranges, with_marks
+from .windows import Symbols, covered, repeated_ranges, unsqueezed, with_marks
 
 LENGTH = 35
 GRAM = 8
@@ -26,19 +26,50 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-_hash = Cache(xxhash.xxh3_64_intdigest)
+BASE = 0x9E3779B97F4A7C15
+
 
+@functools.lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse modulo 2^64, at least ``n`` of them."""
+    both = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        both.append(np.cumprod(x))
+    return both[0], both[1]
 
-def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    words = [words_of(t) for t in texts]
-    first = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
-    h = np.fromiter((x for w in words for x in map(_hash.__getitem__, w)), np.uint64, int(first[-1]))
-    return h, first, words
+
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[bytes, np.ndarray, np.ndarray]]:
+    """Words' hashes without a step in Python for each: sums of bytes times powers, differences at word borders."""
+    plain = [b" ".join(words_of(t)) for t in texts]
+    first = np.concatenate(([0], np.cumsum([x.count(b" ") + 1 if x else 0 for x in plain], dtype=np.int64)))
+    joined = b" ".join(x for x in plain if x)
+    if not joined:
+        return np.empty(0, np.uint64), first, (joined, first, first)
+    letters = np.frombuffer(joined, np.uint8)
+    space = np.flatnonzero(letters == 32)
+    start, end = np.append(0, space + 1), np.append(space, len(letters))
+    power, inverse = powers(1 << len(letters).bit_length())
+    total = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * power[: len(letters)], out=total[1:])
+    h = (total[end] - total[start]) * inverse[start]
+    return h ^ (h >> np.uint64(32)), first, (joined, start, end)
 
 
 def symbols(length: int) -> Symbols:
     gram = min(GRAM, 1 << (length.bit_length() - 1))
-    return Symbols(length, gram, hashes, lambda words, d, a, b: b" ".join(words[d][a:b]))
+    return Symbols(length, gram, hashes, cut, lambda x: windows_of(x, length))
+
+
+def cut(state: tuple[bytes, np.ndarray, np.ndarray], at: int, a: int, b: int) -> bytes:
+    joined, start, end = state
+    return joined[start[at + a] : end[at + b - 1]]
+
+
+def windows_of(packed: bytes, length: int) -> list[bytes]:
+    words = packed.split(b" ")
+    return [b" ".join(words[i : i + length]) for i in range(len(words) - length + 1)]
 
 
 def sort_windows(packed: list[bytes], length: int) -> list[np.ndarray]:
@@ -64,16 +95,16 @@ def sort_windows(packed: list[bytes], length: int) -> list[np.ndarray]:
     return [twice[bounds[k] : bounds[k + 1]] - first[k] for k in range(len(packed))]
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_bytes: int = 4_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot_runs: int = 20_000) -> DataFrame:
     """``doc_id, n_words, spans, kept`` for every row: removed [start, end) word runs and the text of the other words.
 
     A word goes if a window of ``length`` words around it starts anywhere else too. Null and empty texts
     have no words; equal rows repeat each other; kept words are joined by one space.
     """
-    found = repeated_ranges(docs, symbols(length), sort_windows, doc_id, text, bucket_bytes)
+    found = repeated_ranges(docs, symbols(length), sort_windows, doc_id, text, hot_runs)
 
     def make():
-        def run(texts: list[str], marks: list):
+        def run(texts: list[str | None], marks: list):
             n, spans, kept = [], [], []
             for t, m in zip(texts, marks, strict=True):
                 words = words_of(t)
@@ -85,7 +116,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return run
 
     marked = with_marks(docs.select(doc_id, text), found, doc_id, text)
-    return map_texts(marked, doc_id, text, "n_words long, spans array<array<bigint>>, kept string", make, ["_marks"])
+    return map_texts(marked, doc_id, "_z", "n_words long, spans array<array<bigint>>, kept string", make, ["_marks"], unsqueezed)
 
 
 def left_over(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:

@@ -10,13 +10,15 @@ both orders are merged. Neighbours in the order are then compared over their fir
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
-from .windows import Symbols, covered, repeated_ranges, with_marks
+from .windows import Symbols, covered, repeated_ranges, unsqueezed, with_marks
 
 LENGTH = 200
 GRAM = 32
@@ -32,7 +34,7 @@ def eight_bytes(raw: bytes) -> np.ndarray:
     return out
 
 
-def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[bytes, np.ndarray]]:
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
     raw = [t.encode() for t in texts]
     first = np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64)))
     joined = b"".join(raw)
@@ -45,11 +47,11 @@ def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[bytes, np.nd
     g ^= g >> np.uint64(32)
     g *= np.uint64(0xE7037ED1A0B428DB)
     g ^= g >> np.uint64(29)
-    return g, first, (joined, first)
+    return g, first, joined
 
 
 def symbols(length: int) -> Symbols:
-    return Symbols(length, GRAM, hashes, lambda state, d, a, b: state[0][state[1][d] + a : state[1][d] + b], wide=GRAM)
+    return Symbols(length, GRAM, hashes, lambda state, at, a, b: state[at + a : at + b], lambda x: [x[i : i + length] for i in range(len(x) - length + 1)], wide=GRAM)
 
 
 def suffix_order(s: np.ndarray, span: int, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ def suffix_order(s: np.ndarray, span: int, width: int = 1) -> tuple[np.ndarray,
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     triple = (x[sample] << 2 * bits | x[sample + 1] << bits | x[sample + 2]) if 3 * bits <= 62 else paired(x, sample)
-    by = np.argsort(triple, kind="stable")
+    by = np.argsort(triple)
     ordered = triple[by]
     new = np.append(True, ordered[1:] != ordered[:-1])
     name = np.empty(len(sample), np.int64)
@@ -82,13 +84,13 @@ def suffix_order(s: np.ndarray, span: int, width: int = 1) -> tuple[np.ndarray,
         _, name = suffix_order(name, span, 3 * width)
     rank12 = np.zeros(n + 3, np.int64)
     rank12[sample] = name
-    first = sample[np.argsort(name, kind="stable")]
+    first = sample[np.argsort(name)]
     first = first[first < n]
     # the others: own symbol, then the rank of the suffix behind it
     zero = np.arange(0, n, 3)
     shift = len(sample).bit_length() + 1
     key0 = x[zero] << shift | rank12[zero + 1]
-    o0 = np.argsort(key0, kind="stable")
+    o0 = np.argsort(key0)
     zero, key0 = zero[o0], key0[o0]
     kind1, kind2 = first[first % 3 == 1], first[first % 3 == 2]
     before = np.searchsorted(x[kind1] << shift | rank12[kind1 + 1], key0)
@@ -140,20 +142,20 @@ def sorted_windows(packed: list[bytes], length: int) -> list[np.ndarray]:
     return [twice[bounds[k] : bounds[k + 1]] - first[k] for k in range(len(packed))]
 
 
-def found_repeats(docs: DataFrame, doc_id: str, text: str, length: int, bucket_bytes: int) -> DataFrame:
+def found_repeats(docs: DataFrame, doc_id: str, text: str, length: int, hot_runs: int) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes")
-    return repeated_ranges(docs, symbols(length), sorted_windows, doc_id, text, bucket_bytes)
+    return repeated_ranges(docs, symbols(length), sorted_windows, doc_id, text, hot_runs)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_bytes: int = 4_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot_runs: int = 20_000) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` for every row: removed [start, end) byte runs and the bytes left (binary).
 
     A byte goes if a string of ``length`` bytes around it starts anywhere else too, in this document or
     another. Null and empty texts have no bytes; equal rows repeat each other. What is left may
     break a character in two; :func:`cleaned` keeps characters whole.
     """
-    found = found_repeats(docs, doc_id, text, length, bucket_bytes)
+    found = found_repeats(docs, doc_id, text, length, hot_runs)
 
     def make():
         def run(texts: list[str], marks: list):
@@ -164,7 +166,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return run
 
-    return map_texts(with_marks(docs.select(doc_id, text), found, doc_id, text), doc_id, text, "n_bytes long, spans array<array<bigint>>, kept binary", make, ["_marks"])
+    return map_texts(with_marks(docs.select(doc_id, text), found, doc_id, text), doc_id, "_z", "n_bytes long, spans array<array<bigint>>, kept binary", make, ["_marks"], unsqueezed)
 
 
 def left_over(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -188,22 +190,27 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_bytes: int = 4_000_000) -> DataFrame:
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot_runs: int = 20_000) -> DataFrame:
     """``docs`` with repeated bytes taken out of the text, characters kept whole; other columns as they are."""
-    found = found_repeats(docs, doc_id, text, length, bucket_bytes)
-
-    @F.pandas_udf("string")
-    def clean(texts, marks):
-        def one(t, m):
-            if m is None or t is None:
-                return t
-            raw = t.encode()
-            return left_over(raw, whole_characters(raw, covered(m, length, len(raw)))).decode()
-
-        return type(texts)([one(t, m) for t, m in zip(texts, marks, strict=True)], dtype=object)
-
-    marked = with_marks(docs, found, doc_id, text)
-    return marked.withColumn(text, F.when(F.col("_marks").isNull(), F.col(text)).otherwise(clean(text, "_marks"))).select(docs.columns)
+    found = found_repeats(docs, doc_id, text, length, hot_runs)
+
+    names, at = docs.columns, docs.columns.index(text)
+    # the other columns travel in one struct, so that no name can clash
+    row = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in names if c != text)).alias("_row"))
+    marked = with_marks(row, found, "_id", "_text").select("_row", "_z", "_marks")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, m in zip(unsqueezed(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                if m is not None:
+                    raw = t.encode()
+                    t = left_over(raw, whole_characters(raw, covered(m, length, len(raw)))).decode()
+                out.append(t)
+            rest = batch.column(0).flatten()
+            yield pa.RecordBatch.from_arrays([*rest[:at], pa.array(out, pa.string()), *rest[at:]], names=names)
+
+    return marked.mapInArrow(clean, docs.schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

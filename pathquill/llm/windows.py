@@ -6,13 +6,13 @@ consecutive windows mostly share one: such a run travels as one packed string.
 
 1. Minimisers are counted over all documents. Only those that occur twice, in two runs or
    within one run, can head a repeated window; the others are dropped before any text moves.
-2. Documents with such minimisers are cut into packed runs; equal runs collapse to one with a count.
-3. Distinct runs meet in their minimiser's bucket, where a solver marks the windows that start
-   more than once. A bucket beyond ``bucket_bytes`` is dealt out by the content of its single
-   windows instead, so one minimiser shared by a third of all documents never meets in one task.
+2. Documents with such minimisers are cut into packed runs of at most ``LONGEST`` windows.
+3. Runs, collapsed within each task, meet in their minimiser's bucket, where a solver marks the
+   windows that start more than once. A minimiser of more than ``hot_runs`` runs is dealt out by the
+   content of its single windows instead, so one shared by a third of all documents never meets in one task.
 4. Marks go back along the runs' ids and become removed symbol ranges of each document.
 
-Counts, ids and ranges move; text moves twice, once to be cut into runs and once to meet its ranges.
+Counts, ids and ranges move; text moves twice, compressed: once to be cut into runs, once to meet its ranges.
 Documents are known by two hashes of id and text: equal rows share them, and count as often as they occur.
 """
 
@@ -25,11 +25,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint_dir, settle, shuffle_width, whole_groups
+from .common import checkpoint_dir, group_starts, settle, shuffle_width, whole_groups
 
+#: Windows of a run at most; longer runs, as in text of few symbols, are cut.
+LONGEST = 4096
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -41,8 +45,10 @@ class Symbols:
     gram: int
     #: (texts) -> (64-bit hash of each symbol's neighbourhood, first symbol of each text, state to cut from)
     hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray, object]]
-    #: (state, text number, first symbol, end) -> packed string
+    #: (state, first symbol of the text, first symbol in it, end in it) -> packed string
     cut: Callable[[object, int, int, int], bytes]
+    #: packed string -> the content of each of its windows
+    views: Callable[[bytes], list[bytes]]
     #: symbols that a symbol's hash reaches over
     wide: int = 1
 
@@ -67,8 +73,8 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - n)], h[width - n :]) if n < width else h
 
 
-def runs_of(s: Symbols, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, object]:
-    """Runs of windows with one minimiser: (text number, first window, windows, minimiser, repeats inside, state).
+def runs_of(s: Symbols, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Runs of windows with one minimiser: (text number, first window, windows, minimiser, repeats inside, (state, first)).
 
     Texts are concatenated, and windows across their borders left out.
     """
@@ -76,7 +82,7 @@ def runs_of(s: Symbols, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
     width = s.length - s.gram + 1
     empty = np.empty(0, np.int64)
     if len(h) < s.length:
-        return empty, empty, empty, empty, empty.astype(bool), state
+        return empty, empty, empty, empty, empty.astype(bool), (state, first)
     g = gram_hashes(h, s.gram // s.wide) if s.gram > s.wide else h
     m = sliding_min(g[: len(h) - s.gram + 1], width)
     start, end = first[:-1], np.maximum(first[1:] - s.length + 1, first[:-1])  # windows of each text
@@ -89,6 +95,10 @@ def runs_of(s: Symbols, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
     np.not_equal(m[1:], m[:-1], out=new[1:])
     new[start[(start < len(m)) & (end > start)]] = True
     at = np.flatnonzero(new & inside)
+    if len(at) and np.diff(np.append(at, len(m))).max() > LONGEST:
+        since = np.arange(len(m)) - np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
+        new |= since % LONGEST == 0
+        at = np.flatnonzero(new & inside)
     stop = np.flatnonzero(new | ~inside)
     ends = np.append(stop, len(m))[np.searchsorted(stop, at, "right")]
     # a run that meets its minimiser again within a window's reach, or is longer than one minimiser can carry
@@ -97,12 +107,33 @@ def runs_of(s: Symbols, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
     again[-1] = again[-2] if len(m) > 1 else 0
     own = (again[ends - 1] - again[at] > 0) | (ends - at >= width)
     doc = np.searchsorted(first, at, "right") - 1
-    return doc, at - first[doc], ends - at, m[at].view(np.int64), own, state
+    return doc, at - first[doc], ends - at, m[at].view(np.int64), own, (state, first)
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def keyed(df: DataFrame, doc_id: str, text: str) -> list:
+    """Two hashes that name a row by its id and text."""
     d, t = F.col(doc_id), F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(d, t).alias("k1"), F.xxhash64(t, F.lit(1), d).alias("k2"), t.alias("text"))
+    return [F.xxhash64(d, t).alias("_k1"), F.xxhash64(t, F.lit(1), d).alias("_k2")]
+
+
+def squeezed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``df`` with ``_k1, _k2`` and the text compressed as ``_z`` in its place: what a shuffle of texts moves."""
+    others = [c for c in df.columns if c != text]
+    source = df.select(*others, *keyed(df, doc_id, text), F.col(text).alias("_z"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = [None if t is None else pack(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary())], names=batch.schema.names)
+
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("_z", T.BinaryType())])
+    return source.mapInArrow(squeeze, schema)
+
+
+def unsqueezed(column: pa.Array) -> list[str | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if z is None else unpack(z).decode() for z in column.to_pylist()]
 
 
 def batched(texts: list[str], budget: int = 400_000) -> Iterator[tuple[int, list[str]]]:
@@ -117,115 +148,156 @@ def batched(texts: list[str], budget: int = 400_000) -> Iterator[tuple[int, list
         yield at, texts[at:]
 
 
-def repeated_ranges(docs: DataFrame, s: Symbols, solve: Callable[[list[bytes], int], list[np.ndarray]], doc_id: str, text: str, bucket_bytes: int = 4_000_000) -> DataFrame:
-    """``k1, k2, ranges``: [start, end) symbol ranges that repeated windows cover, of each document that has any.
+PACKED = "anchor long, r1 long, r2 long, times long, packed binary, hot boolean, k1 long, k2 long, first long, windows long"
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def packed_rows(**columns) -> pa.RecordBatch:
+    """A batch of :data:`PACKED` with nulls in the columns not given."""
+    n = len(next(iter(columns.values())))
+    names = [c.split(" ")[0] for c in PACKED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, _TYPES, strict=True)], names=names)
+
+
+def repeated_ranges(docs: DataFrame, s: Symbols, solve: Callable[[list[bytes], int], list[np.ndarray]], doc_id: str, text: str, hot_runs: int = 20_000) -> DataFrame:
+    """``k1, k2, marks``: the repeated windows of each document that has any, as start, end, start, end, ...
 
     ``solve(packed, length)`` gets distinct runs and returns, for each, the windows (offsets) whose content
-    starts at least twice among all of them.
+    starts at least twice among all of them. Minimisers of more than ``hot_runs`` runs are dealt out by content.
     """
     spark = docs.sparkSession
-    source = keyed(docs, doc_id, text)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = (batch.column(k).to_numpy() for k in (0, 1))
-            for at, texts in batched(batch.column(2).to_pylist()):
+            k1 = batch.column(0).to_numpy()
+            for at, texts in batched([t or "" for t in batch.column(1).to_pylist()]):
                 doc, _, _, anchor, own, _ = runs_of(s, texts)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(k1[at + doc]), pa.array(k2[at + doc]), pa.array(own.astype(np.int64) + 1)], names=["anchor", "k1", "k2", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(k1[at + doc]), pa.array(own.astype(np.int32) + 1)], names=["anchor", "k1", "n"])
 
-    heads = source.mapInArrow(minimisers, "anchor long, k1 long, k2 long, n long")
-    heads = heads.groupBy("anchor", "k1", "k2").agg(F.sum("n").alias("n"))
-    live = heads.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    # the list of a document is bounded by its own length
-    wanted = heads.select("anchor", "k1", "k2").join(live, "anchor").groupBy("k1", "k2").agg(F.collect_list("anchor").alias("live"))
+    heads = rows.select(keyed(rows, "_id", "text")[0], "text").mapInArrow(minimisers, "anchor long, k1 long, n int")
+    live = heads.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot_runs).alias("hot"))
+    # the list of a document is bounded by its own length; what shares a first hash by chance is cut in vain
+    wanted = heads.select("anchor", F.col("k1").alias("_k1")).join(live, "anchor").groupBy("_k1").agg(F.collect_list("anchor").alias("live"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("heat"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()  # ids of runs whose string this task has sent already
+        """A row for each occurrence of a run, and one for each distinct run with its string and count here."""
+        again: dict[tuple[int, int, int], int] = {}  # runs whose string has been sent -> further occurrences
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            more = [(*run, n) for run, n in again.items() if n]
+            if more:
+                anchor, r1, r2, times = zip(*more, strict=True)
+                yield packed_rows(anchor=anchor, r1=r1, r2=r2, times=times, hot=np.isin(anchor, list(heat)))
+            again.clear()
+
+        heat: set[int] = set()
         for batch in batches:
-            k1, k2 = (batch.column(k).to_numpy() for k in (0, 1))
-            lists = batch.column(3)
-            for at, texts in batched(batch.column(2).to_pylist()):
-                doc, first, count, anchor, _, state = runs_of(s, texts)
-                ok = np.isin(anchor, lists.slice(at, len(texts)).flatten().to_numpy())
+            k1, k2, live, hot = (batch.column(k) for k in (0, 1, 3, 4))
+            k1, k2 = k1.to_numpy(), k2.to_numpy()
+            heat.update(hot.flatten().to_pylist())
+            for at, texts in batched([t or "" for t in unsqueezed(batch.column(2))]):
+                doc, first, count, anchor, _, (state, begin) = runs_of(s, texts)
+                ok = np.isin(anchor, live.slice(at, len(texts)).flatten().to_numpy())
                 doc, first, count, anchor = doc[ok], first[ok], count[ok], anchor[ok]
-                ids, packed = [], []
-                for d, a, n in zip(doc.tolist(), first.tolist(), count.tolist(), strict=True):
-                    x = s.cut(state, d, a, a + n + s.length - 1)
-                    i = xxhash.xxh3_128_digest(x)
-                    ids.append(i)
-                    packed.append(None if i in sent else x)
-                    if len(sent) < 1_000_000:
-                        sent.add(i)
-                pair = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(packed, pa.binary()), pa.array(k1[at + doc]), pa.array(k2[at + doc]), pa.array(first), pa.array(count)],
-                    names=["anchor", "r1", "r2", "packed", "k1", "k2", "first", "windows"],
-                )
+                if not len(doc):
+                    continue
+                strings = [s.cut(state, b, a, a + n + s.length - 1) for b, a, n in zip(begin[doc].tolist(), first.tolist(), count.tolist(), strict=True)]
+                pair = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), "<i8").reshape(-1, 2)
+                yield packed_rows(r1=pair[:, 0], r2=pair[:, 1], k1=k1[at + doc], k2=k2[at + doc], first=first, windows=count)
+                new = []
+                for k, run in enumerate(zip(anchor.tolist(), pair[:, 0].tolist(), pair[:, 1].tolist(), strict=True)):
+                    if run in again:
+                        again[run] += 1
+                    else:
+                        again[run] = 0
+                        new.append(k)
+                at_new = np.array(new, np.int64)
+                yield packed_rows(anchor=anchor[at_new], r1=pair[at_new, 0], r2=pair[at_new, 1], times=np.ones(len(new), np.int64), packed=[strings[k] for k in new], windows=count[at_new], hot=np.isin(anchor[at_new], list(heat)))
+                if len(again) > 300_000:
+                    yield from rest()
+        yield from rest()
 
     place = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
-    cut = source.join(wanted, ["k1", "k2"]).mapInArrow(pack, "anchor long, r1 long, r2 long, packed binary, k1 long, k2 long, first long, windows long")
-    cut.write.option("compression", "zstd").parquet(place)
-    runs = spark.read.parquet(place)
-
-    run = ["anchor", "r1", "r2"]
-    distinct = runs.groupBy(*run).agg(F.count("*").alias("times"), F.max("windows").alias("windows"))
-    buckets = distinct.groupBy("anchor").agg(F.count("*").alias("members"), F.sum("windows").alias("in_bucket"))
-    sized = settle(distinct.join(buckets, "anchor"))
-    strings = runs.where("packed is not null").select(*run, "packed").dropDuplicates(run)
-    # a bucket of one run that occurs twice needs no comparison; a run alone in its bucket repeats within itself
-    compared = sized.where("members > 1 or times = 1").join(strings, run)
-    compared = compared.withColumn("size", F.col("in_bucket") + F.col("members") * F.lit(s.length))
-    small, large = compared.where(F.col("size") <= bucket_bytes), compared.where(F.col("size") > bucket_bytes)
+    texts = squeezed(rows, "_id", "text").select("_k1", "_k2", "_z")
+    texts.join(wanted, "_k1").select("_k1", "_k2", "_z", "live", "heat").mapInArrow(pack, PACKED).write.option("compression", "zstd").parquet(place)
+    packed = spark.read.schema(PACKED).parquet(place)
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["anchor"], 3_000):
-            yield from marks_of(t, solve(t.column("packed").to_pylist(), s.length))
-
-    marked = small.where("times = 1 or members > 1").select(*run, "packed").repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(bucketed, "r1 long, r2 long, marks array<long>")
-    marked = marked.union(by_content(large.select(*run, "times", "packed"), s, solve))
-    single = runs.select("r1", "r2", "k1", "k2", "first", "windows").join(sized.select("r1", "r2", "times").dropDuplicates(["r1", "r2"]), ["r1", "r2"])
-    whole = single.where("times > 1").select("k1", "k2", F.array("first", F.expr("first + windows")).alias("marks"))
-    part = single.where("times = 1").join(marked, ["r1", "r2"]).select("k1", "k2", F.transform("marks", lambda m: m + F.col("first")).alias("marks"))
-    # marks: start, end, start, end, ... of windows; a window covers length symbols
-    found = settle(whole.union(part).groupBy("k1", "k2").agg(F.flatten(F.collect_list("marks")).alias("marks")))
+        for t in whole_groups(batches, ["anchor"], 2_000):
+            starts = np.append(group_starts(t, ["anchor"]), t.num_rows)
+            # some runs at a time keep the sort in the processor's cache
+            cuts = [0]
+            for e in starts[1:].tolist():
+                if e - cuts[-1] >= 500:
+                    cuts.append(e)
+            for a, e in zip(cuts, [*cuts[1:], t.num_rows], strict=True):
+                if e > a:
+                    yield marks_of(t.slice(a, e - a), s.length, solve)
+
+    runs = packed.where("anchor is not null")
+    bucket = runs.where("not hot").select("anchor", "r1", "r2", "times", "packed", "windows").repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor", "r1", "r2")
+    marked = bucket.mapInArrow(bucketed, MARKS).union(by_content(runs.where("hot"), s))
+    occurrences = packed.where("k1 is not null").select("r1", "r2", "k1", "k2", "first")
+    found = occurrences.join(marked, ["r1", "r2"]).select("k1", "k2", F.transform("marks", lambda m: m + F.col("first")).alias("marks"))
+    found = settle(found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("marks")).alias("marks")))
     drop_table(spark, place)
     return found
 
 
-def marks_of(t: pa.Table, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Window offsets as [start, end) pairs in one flat list; runs without any are left out."""
+MARKS = "r1 long, r2 long, marks array<long>"
+
+
+def marks_of(t: pa.Table, length: int, solve) -> pa.RecordBatch:
+    """Marks of the runs of whole buckets (rows sorted by bucket and run); runs without any are left out."""
+    anchor, r1, r2, times = (t.column(k).to_numpy() for k in ("anchor", "r1", "r2", "times"))
+    new = np.append(True, (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (anchor[1:] != anchor[:-1]))
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(times, at)
+    strings: list[bytes] = []
+    windows: list[int] = []
+    column, counts = t.column("packed").to_pylist(), t.column("windows").to_pylist()
+    for a, e in zip(at.tolist(), [*at[1:].tolist(), t.num_rows], strict=True):
+        k = next(k for k in range(a, e) if column[k] is not None)
+        strings.append(column[k])
+        windows.append(counts[k])
+    bucket = anchor[at]
+    alone = np.append(True, bucket[1:] != bucket[:-1]) & np.append(bucket[1:] != bucket[:-1], True)
+    # alone in its bucket and there twice: repeated as a whole, and nothing else to compare with
+    whole = (alone & (total > 1)).tolist()
+    compared = [k for k, w in enumerate(whole) if not w]
+    offsets = dict(zip(compared, solve([strings[k] for k in compared], length) if compared else [], strict=True))
     keep, marks = [], []
-    for k, offsets in enumerate(found):
-        if len(offsets):
-            gap = np.flatnonzero(np.diff(offsets) != 1)
-            starts, ends = offsets[np.append(0, gap + 1)], offsets[np.append(gap, len(offsets) - 1)] + 1
+    for k in range(len(at)):
+        if total[k] > 1:
+            keep.append(k)
+            marks.append(np.array([0, windows[k]]))
+        elif len(found := offsets[k]):
+            gap = np.flatnonzero(np.diff(found) != 1)
+            starts, ends = found[np.append(0, gap + 1)], found[np.append(gap, len(found) - 1)] + 1
             keep.append(k)
             marks.append(np.column_stack([starts, ends]).reshape(-1))
-    at = np.array(keep, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(t.column("r1").to_numpy()[at]), pa.array(t.column("r2").to_numpy()[at]), pa.array(marks, pa.list_(pa.int64()))], names=["r1", "r2", "marks"])
+    rows = at[np.array(keep, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(r1[rows]), pa.array(r2[rows]), pa.array(marks, pa.list_(pa.int64()))], names=["r1", "r2", "marks"])
 
 
-def by_content(runs: DataFrame, s: Symbols, solve) -> DataFrame:
-    """Marks of the runs of large buckets: every single window goes where its own content leads."""
+def by_content(runs: DataFrame, s: Symbols) -> DataFrame:
+    """Marks of the runs of hot minimisers: every single window goes where its own content leads."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r1, r2, x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)), strict=True):
-                views = single_windows(x, s)
-                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, views)), "<i8").reshape(-1, 2)
+            for r1, r2, x in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s.views(x))), "<i8").reshape(-1, 2)
                 n = len(digest)
                 yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.full(n, r1)), pa.array(np.full(n, r2)), pa.array(np.arange(n))], names=["w1", "w2", "r1", "r2", "at"])
 
-    each = runs.mapInArrow(explode, "w1 long, w2 long, r1 long, r2 long, at long")
+    each = runs.where("packed is not null").select("r1", "r2", "packed").mapInArrow(explode, "w1 long, w2 long, r1 long, r2 long, at long")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return each.join(twice, ["w1", "w2"]).groupBy("r1", "r2").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("marks"))
-
-
-def single_windows(packed: bytes, s: Symbols) -> list[bytes]:
-    if s.wide > 1:  # bytes
-        return [packed[i : i + s.length] for i in range(len(packed) - s.length + 1)]
-    words = packed.split(b" ")
-    return [b" ".join(words[i : i + s.length]) for i in range(len(words) - s.length + 1)]
+    single = each.join(twice, ["w1", "w2"]).select("r1", "r2", "at", (F.col("at") + 1).alias("end"))
+    whole = runs.groupBy("r1", "r2").agg(F.sum("times").alias("n"), F.max("windows").alias("windows")).where("n > 1")
+    both = single.union(whole.select("r1", "r2", F.lit(0).cast("long"), "windows"))
+    # one row for each run: a run is bounded by its document
+    return both.groupBy("r1", "r2").agg(F.flatten(F.collect_set(F.array("at", "end"))).alias("marks"))
 
 
 def drop_table(spark: SparkSession, place: str) -> None:
@@ -245,8 +317,6 @@ def covered(marks, length: int, size: int) -> list[tuple[int, int]]:
 
 
 def with_marks(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """All rows and columns of ``docs`` and the ``_marks`` found for them (null: none)."""
-    d, t = F.col(doc_id), F.coalesce(F.col(text), F.lit(""))
-    full = docs.withColumn("_k1", F.xxhash64(d, t)).withColumn("_k2", F.xxhash64(t, F.lit(1), d))
+    """All rows of ``docs``: its other columns, the compressed text ``_z`` and the ``_marks`` found (null: none)."""
     marks = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("marks").alias("_marks"))
-    return full.join(marks, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    return squeezed(docs, doc_id, text).join(marks, ["_k1", "_k2"], "left").drop("_k1", "_k2")
