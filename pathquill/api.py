@@ -111,7 +111,8 @@ class Tables:
         return mutate.changed(c, q.bound)
 
     def count(self, q: PathQuery | str, collection: str | None = None) -> int:
-        return self.query(q, collection).count()
+        df = self.query(q, collection)
+        return df.first()["count"] if df.columns == ["count"] else df.count()
 
     def condition(self, q: PathQuery | str, collection: str | None = None) -> Column:
         """The filter alone, for use in any DataFrame or stream of the same schema."""

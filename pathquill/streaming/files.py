@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..api import PathQuery, Tables
 from ..errors import EngineError
 from ..operators import query
+from ..sources.shared import shared_folder
 
 
 def over_stream(stream: DataFrame, tables: Tables, text: str | PathQuery) -> DataFrame:
@@ -22,14 +23,17 @@ def over_stream(stream: DataFrame, tables: Tables, text: str | PathQuery) -> Dat
 
 
 def filtered(spark: SparkSession, tables: Tables, text: str, path: str) -> DataFrame:
-    """All rows that a stream over Parquet files gives until it has caught up, by an in-memory sink: for bounded results."""
+    """All rows that a stream over Parquet files gives until it has caught up, by a Parquet sink in the shared folder."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if is_folder(spark, path) else folder, **({} if is_folder(spark, path) else {"pathGlobFilter": name}))
-    sink = f"caught_{uuid.uuid4().hex}"
-    run = over_stream(stream, tables, text).writeStream.format("memory").queryName(sink).trigger(availableNow=True).start()
+    reader = spark.readStream.schema(schema)
+    if not is_folder(spark, path):
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    stream = over_stream(reader.parquet(path), tables, text)
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(sink)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
