@@ -178,7 +178,7 @@ def link_group(words: list[np.ndarray], keys: np.ndarray, band: np.ndarray, bloc
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, block: int = 640) -> DataFrame:
     """``doc_id, class_id, kept, n_words`` for every row of ``docs``.
 
     ``class_id`` is the smallest id reachable by links; the document with that id is kept. Case and marks
