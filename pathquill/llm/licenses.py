@@ -1,8 +1,7 @@
 """License scans with DataFrame operations alone.
 
 Lines (headers) and whole texts (licence files) are compared to templates by the cosine of sparse TF-IDF
-vectors, with document frequencies over the templates and the highest idf for terms that no template
-has. A text can only reach the threshold if it holds an anchor, one of the heaviest terms without
+vectors, with document frequencies over all documents. A text can only reach the threshold if it holds an anchor, one of the heaviest terms without
 which the cosine stays below it, so a scan by regular expression leaves few lines to split. A file
 without a licence of its own takes the one of the nearest ancestor directory that has a licence file.
 """
@@ -44,16 +43,31 @@ def terms(text: str) -> list[str]:
     return [t for t in re.split(GAP, text.lower()) if t]
 
 
-def weighted() -> tuple[list[tuple[int, str, str, float]], float, dict[str, float]]:
-    """(template, license, term, unit weight) rows, the idf of unknown terms, and the idf of the known."""
-    bags = [Counter(terms(t)) for _, t in TEMPLATES]
-    df = Counter(t for bag in bags for t in bag)
-    idf = {t: 1 + math.log((1 + len(bags)) / (1 + n)) for t, n in df.items()}
+VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+
+
+def document_counts(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
+    """In how many documents each template term occurs, and how many documents there are."""
+    held = F.array_intersect(F.split(F.lower(text), GAP), F.array(*map(F.lit, VOCABULARY)))
+    rows = docs.select(F.explode(F.coalesce(F.array_append(held, F.lit("")), F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()  # the templates' terms
+    found = {r.term: r["count"] for r in rows}
+    return found, found.get("", 0)
+
+
+def weighted(found: dict[str, int] | None = None, n: int = 0) -> tuple[list[tuple[int, str, str, float]], float, dict[str, float]]:
+    """(template, license, term, unit weight) rows, the idf of unknown terms, and the idf of the known.
+
+    A term's weight is (1 + ln tf) ln(1 + N / (1 + df)), with documents counted over the whole table; terms that
+    no template has weigh as the templates' mean.
+    """
+    found = found or {}
+    idf = {t: math.log(1 + max(n, 1) / (1 + found.get(t, 0))) for t in VOCABULARY}
     rows = []
-    for k, bag in enumerate(bags):
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items()))
-        rows += [(k, TEMPLATES[k][0], t, n * idf[t] / norm) for t, n in sorted(bag.items())]
-    return rows, 1 + math.log(1 + len(bags)), idf
+    for k, (license, text) in enumerate(TEMPLATES):
+        x = {t: (1 + math.log(c)) * idf[t] for t, c in Counter(terms(text)).items()}
+        norm = math.sqrt(sum(w * w for w in x.values()))
+        rows += [(k, license, t, w / norm) for t, w in sorted(x.items())]
+    return rows, sum(idf.values()) / len(idf), idf
 
 
 def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[str]:
@@ -73,14 +87,14 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
     return sorted(out)
 
 
-def best_license(units: DataFrame, keys: list[str], text: str, threshold: float) -> DataFrame:
+def best_license(units: DataFrame, keys: list[str], text: str, threshold: float, model) -> DataFrame:
     """``keys, license, cosine`` of the nearest template of each text that reaches the threshold."""
     spark = units.sparkSession
-    rows, unknown, idf = weighted()
+    rows, unknown, idf = model
     weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))  # the fixed templates
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
     bag = units.select(*keys, F.explode(F.split(F.lower(text), GAP)).alias("term")).where("term != ''").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    bag = bag.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    bag = bag.join(known, "term", "left").withColumn("x", (1 + F.log("tf")) * F.coalesce("idf", F.lit(unknown)))
     norm = bag.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = bag.join(weights, "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     near = dot.join(norm, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
@@ -96,19 +110,18 @@ def license_scan(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     a nearer one. Null or empty texts have no licence but inherit; a null path has no directory and
     inherits nothing. Ids are taken as unique; a repeated one is one file with all its rows' lines.
     """
-    spark = files.sparkSession
-    rows, _, _ = weighted()
-    pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])(?:" + "|".join(map(re.escape, anchors(rows, threshold))) + r")(?:$|[^a-z0-9\u0080-￿])"
     docs = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.col(text).alias("text"))
+    model = weighted(*document_counts(docs, "text"))
+    pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])(?:" + "|".join(map(re.escape, anchors(model[0], threshold))) + r")(?:$|[^a-z0-9\u0080-￿])"
     # the texts that hold an anchor are read once more as lines and as wholes; distinct lines are few
     held = docs.where(F.col("text").rlike(pattern))
     lines = held.select("file_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(F.col("line").rlike(pattern))
     lines = settle(lines.groupBy("file_id", "line").agg(F.count("*").alias("times")))
     distinct = lines.select("line").distinct().withColumn("unit", F.col("line"))
-    named = best_license(distinct, ["unit"], "line", threshold)
+    named = best_license(distinct, ["unit"], "line", threshold, model)
     headers = lines.join(named.withColumnRenamed("unit", "line"), "line").groupBy("file_id").agg(F.sum("times").alias("n_headers"), F.max_by("license", F.struct("cosine", "license")).alias("header"), F.max("cosine").alias("cosine"))
     # a whole text is near a template only if it is about as long: its norm is at most the dot over the threshold
-    whole = best_license(held.select("file_id", "text"), ["file_id"], "text", threshold).select("file_id", F.col("license").alias("whole"), F.col("cosine").alias("whole_cosine"))
+    whole = best_license(held.select("file_id", "text"), ["file_id"], "text", threshold, model).select("file_id", F.col("license").alias("whole"), F.col("cosine").alias("whole_cosine"))
     ids = docs.select("file_id", directory("path").alias("dir")).groupBy("file_id").agg(F.min("dir").alias("dir"))
     own = settle(ids.join(headers, "file_id", "left").join(whole, "file_id", "left"))
 
