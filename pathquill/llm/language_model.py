@@ -4,7 +4,7 @@ The model predicts word classes: the most frequent words are classes of their ow
 classes by the look of their endings. A class' score is the product of its output vector with a sum of
 position-weighted vectors of the preceding classes, plus a bias. Training tells text from noise drawn from
 the class frequencies; every task trains on all its training documents from the same start, and the
-results are averaged by tokens. Scoring takes one matrix product for a block of positions and normalises
+results are averaged by tokens. Scoring takes one matrix product for a block of contexts and normalises
 over all classes, so probabilities sum to one; inside a class a word has its smoothed share of counts.
 
 Counts cover every training document. Of them a bounded head of frequent words is broadcast; the other
@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ from .bpe import Cache
 from .common import checkpoint_dir, crc_mod, table
 
 #: Classes: the end, single words, and endings.
-WORDS, ENDINGS = 255, 128
+WORDS, ENDINGS = 159, 96
 CLASSES = 1 + WORDS + ENDINGS
-SIZE, CONTEXT, NOISE, BATCH = 16, 3, 48, 2048
+SIZE, CONTEXT, NOISE, BATCH = 16, 2, 48, 4096
 #: Words whose counts are broadcast.
 HEAD = 150_000
 END = b" "  # no word holds a space
@@ -68,29 +69,35 @@ def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_step(m: dict, grads: dict, noise_p: np.ndarray, ctx: np.ndarray, word: np.ndarray, rng, rate: float) -> None:
-    """One noise-contrastive step with Adagrad; noise words are shared by the batch."""
+def train_step(m: dict, grads: dict, noise_p: np.ndarray, ctx: np.ndarray, word: np.ndarray, times: np.ndarray, rng, rate: float) -> None:
+    """One noise-contrastive step with Adagrad on contexts and words that occur ``times``; the batch shares its noise."""
     noise = rng.choice(CLASSES, NOISE, p=noise_p)
     e = m["r"][ctx]  # batch, context, size
     h = (e * m["c"]).sum(1)
     log_kp = np.log(NOISE * noise_p).astype(np.float32)
     up = 1 / (1 + np.exp(np.clip(np.einsum("bd,bd->b", h, m["q"][word]) + m["b"][word] - log_kp[word], -20, 20)))  # 1 - sigmoid
     down = 1 / (1 + np.exp(-np.clip(h @ m["q"][noise].T + m["b"][noise] - log_kp[noise], -20, 20)))  # sigmoid
-    n = len(word)
+    up, down, n = up * times, down * times[:, None], float(times.sum())
     gh = up[:, None] * m["q"][word] - down @ m["q"][noise]
-    one = np.zeros((CLASSES, SIZE), np.float32)
-    np.add.at(one, word, up[:, None] * h)
-    np.add.at(one, noise, -(down.T @ h))
+    gq = summed(word, up[:, None] * h, CLASSES) - summed(noise, down.T @ h, CLASSES)
     gb = np.bincount(word, up, CLASSES) - np.bincount(noise, down.sum(0), CLASSES)
-    gr = np.zeros_like(m["r"])
-    for k in range(CONTEXT):
-        np.add.at(gr, ctx[:, k], gh * m["c"][k])
-    for name, g in (("q", one), ("b", gb), ("r", gr), ("c", np.einsum("bkd,bd->kd", e, gh))):
+    gr = sum(summed(ctx[:, k], gh * m["c"][k], CLASSES + 1) for k in range(CONTEXT))
+    for name, g in (("q", gq), ("b", gb), ("r", gr), ("c", np.einsum("bkd,bd->kd", e, gh))):
         g = (g / math.sqrt(n)).astype(np.float32)
         grads[name] += g * g
         m[name] += rate * g / np.sqrt(grads[name] + 1e-6)
 
 
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows at each place: a place's rows are brought together by sorting."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 @dataclass
 class Counts:
     """What the corpus gives: totals, the head's counts, and the words and masses of classes."""
@@ -156,11 +163,11 @@ def classes_of(texts: list[str], classes: Cache) -> tuple[np.ndarray, np.ndarray
     flat = np.zeros(int(first[-1]), np.int64)
     at = np.ones(len(flat), bool)
     at[first[1:] - 1] = False
-    flat[at] = np.fromiter((c for w in words for c in map(classes.__getitem__, w)), np.int64, int(at.sum()))
+    flat[at] = np.fromiter(map(classes.__getitem__, chain.from_iterable(words)), np.int64, int(at.sum()))
     return flat, first, words
 
 
-def train(docs: DataFrame, counts: Counts, rate: float = 0.15) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, counts: Counts, rate: float = 0.08) -> dict[str, np.ndarray]:
     """The model after one pass over all ``docs``, averaged over tasks by their tokens."""
     noise_p = (counts.mass + 1.0) / (counts.mass + 1.0).sum()
     start = start_of(np.log(noise_p))
@@ -175,13 +182,13 @@ def train(docs: DataFrame, counts: Counts, rate: float = 0.15) -> dict[str, np.n
         classes = Cache(lambda w: own.get(w) or ending(w))
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for k in range(0, len(texts), 200):
-                flat, first, _ = classes_of(texts[k : k + 200], classes)
-                ctx = contexts(flat, first)
-                order = rng.permutation(len(flat))
+            for k in range(0, len(texts), 600):
+                flat, first, _ = classes_of(texts[k : k + 600], classes)
+                ctx, word, times = distinct(contexts(flat, first), flat)
+                order = rng.permutation(len(word))
                 for a in range(0, len(order), BATCH):
                     pick = order[a : a + BATCH]
-                    train_step(m, grads, p, ctx[pick], flat[pick], rng, rate)
+                    train_step(m, grads, p, ctx[pick], word[pick], times[pick], rng, rate)
                 seen += len(flat)
         if seen:
             values = np.concatenate([m[k].reshape(-1) for k in shapes]).astype(np.float64) * seen
@@ -199,21 +206,43 @@ def train(docs: DataFrame, counts: Counts, rate: float = 0.15) -> dict[str, np.n
     return out
 
 
-def log_probabilities(m: dict[str, np.ndarray], ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities of ``word`` after ``ctx``, normalised over all classes, in blocks."""
-    out = np.empty(len(word))
-    for a in range(0, len(word), BATCH):
-        h = np.zeros((len(word[a : a + BATCH]), SIZE), np.float32)
+def distinct(ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different contexts with their words, and how often each occurs: equal positions teach the same."""
+    code = word
+    for k in range(CONTEXT):
+        code = code * (CLASSES + 1) + ctx[:, k]
+    _, at, times = np.unique(code, return_index=True, return_counts=True)
+    return ctx[at], word[at], times.astype(np.float32)
+
+
+class Scorer:
+    """Log-probabilities under a model; a context's normaliser is computed once, with others in one product."""
+
+    def __init__(self, m: dict[str, np.ndarray]):
+        self.m = m
+        self.log_z = np.full((CLASSES + 1) ** CONTEXT, np.nan, np.float32)
+
+    def hidden(self, ctx: np.ndarray) -> np.ndarray:
+        h = np.zeros((len(ctx), SIZE), np.float32)
         for k in range(CONTEXT):
-            h += m["r"][ctx[a : a + BATCH, k]] * m["c"][k]
-        s = h @ m["q"].T
-        s += m["b"]
-        mine = s[np.arange(len(s)), word[a : a + BATCH]].astype(np.float64)
-        top = s.max(1, keepdims=True)
-        s -= top
-        np.exp(s, out=s)
-        out[a : a + BATCH] = mine - top[:, 0] - np.log(s.sum(1, dtype=np.float64))
-    return out
+            h += self.m["r"][ctx[:, k]] * self.m["c"][k]
+        return h
+
+    def __call__(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of ``word`` after ``ctx``, normalised over all classes."""
+        code = np.zeros(len(ctx), np.int64)
+        for k in range(CONTEXT):
+            code = code * (CLASSES + 1) + ctx[:, k]
+        h = self.hidden(ctx)
+        new = np.flatnonzero(np.isnan(self.log_z[code]))
+        if len(new):
+            codes, at = np.unique(code[new], return_index=True)
+            for a in range(0, len(codes), BATCH):
+                s = h[new[at[a : a + BATCH]]] @ self.m["q"].T + self.m["b"]
+                top = s.max(1)
+                self.log_z[codes[a : a + BATCH]] = top + np.log(np.exp(s - top[:, None]).sum(1))
+        mine = np.einsum("nd,nd->n", h, self.m["q"][word]) + self.m["b"][word]
+        return (mine - self.log_z[code]).astype(np.float64)
 
 
 def score_texts(docs: DataFrame, learned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,7 +265,7 @@ def score_texts(docs: DataFrame, learned: DataFrame, doc_id: str = "doc_id", tex
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what the head tells, and one for each other word in it."""
         c, m = shared.value
-        classes = Cache(c.class_of)
+        classes, scorer = Cache(c.class_of), Scorer(m)
         share = [math.log10(1 / (n + 0.5 * (k + 1))) for n, k in zip(c.mass.tolist(), c.kinds.tolist(), strict=True)]
         single = [i <= WORDS for i in range(CLASSES)]
         known: dict[bytes, tuple[float, float]] = {}
@@ -251,7 +280,7 @@ def score_texts(docs: DataFrame, learned: DataFrame, doc_id: str = "doc_id", tex
             texts = batch.column(3).to_pylist()
             for a in range(0, len(texts), 100):
                 flat, first, words = classes_of(texts[a : a + 100], classes)
-                lp = np.add.reduceat(log_probabilities(m, contexts(flat, first), flat), first[:-1]) / math.log(10)
+                lp = np.add.reduceat(scorer(contexts(flat, first), flat), first[:-1]) / math.log(10)
                 rows: list[tuple] = []
                 for d, ws in enumerate(words):
                     base, inner, n_known, rest = end[0], end[1], end_known, Counter()

@@ -204,7 +204,7 @@ def test_language_model_is_normalised():
     rng = np.random.default_rng(0)
     m = language_model.start_of(rng.normal(size=language_model.CLASSES))
     ctx = np.tile(rng.integers(0, language_model.CLASSES + 1, (1, language_model.CONTEXT)), (language_model.CLASSES, 1))
-    p = np.exp(language_model.log_probabilities(m, ctx, np.arange(language_model.CLASSES)))
+    p = np.exp(language_model.Scorer(m)(ctx, np.arange(language_model.CLASSES)))
     assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
