@@ -74,8 +74,7 @@ def suffix_order(s: np.ndarray, span: int, width: int = 1) -> tuple[np.ndarray,
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     triple = (x[sample] << 2 * bits | x[sample + 1] << bits | x[sample + 2]) if 3 * bits <= 62 else paired(x, sample)
-    by = np.argsort(triple)
-    ordered = triple[by]
+    by, ordered = sorted_by(triple)
     new = np.append(True, ordered[1:] != ordered[:-1])
     name = np.empty(len(sample), np.int64)
     name[by] = np.cumsum(new)
@@ -84,19 +83,21 @@ def suffix_order(s: np.ndarray, span: int, width: int = 1) -> tuple[np.ndarray,
         _, name = suffix_order(name, span, 3 * width)
     rank12 = np.zeros(n + 3, np.int64)
     rank12[sample] = name
-    first = sample[np.argsort(name)]
+    first = sample[sorted_by(name)[0]]
     first = first[first < n]
     # the others: own symbol, then the rank of the suffix behind it
     zero = np.arange(0, n, 3)
     shift = len(sample).bit_length() + 1
     key0 = x[zero] << shift | rank12[zero + 1]
-    o0 = np.argsort(key0)
-    zero, key0 = zero[o0], key0[o0]
+    o0, key0 = sorted_by(key0)
+    zero = zero[o0]
     kind1, kind2 = first[first % 3 == 1], first[first % 3 == 2]
     before = np.searchsorted(x[kind1] << shift | rank12[kind1 + 1], key0)
     # two symbols and a rank may exceed a machine word: the second symbol and rank become one rank
     tail = np.concatenate([x[zero + 1] << shift | rank12[zero + 2], x[kind2 + 1] << shift | rank12[kind2 + 2]])
-    packed = np.unique(tail, return_inverse=True)[1]
+    by, ordered = sorted_by(tail)
+    packed = np.empty(len(tail), np.int64)
+    packed[by] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) if len(tail) else 0
     deep = len(tail).bit_length() + 1
     key2 = x[kind2] << deep | packed[len(zero) :]
     before += np.searchsorted(np.maximum.accumulate(key2), x[zero] << deep | packed[: len(zero)])
@@ -111,6 +112,17 @@ def suffix_order(s: np.ndarray, span: int, width: int = 1) -> tuple[np.ndarray,
     return order, rank
 
 
+def sorted_by(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys). Keys that leave room for their position are sorted with it, which is faster."""
+    n = len(keys)
+    bits = n.bit_length()
+    if n and int(keys.max()).bit_length() + bits <= 63:
+        both = np.sort(keys << bits | np.arange(n))
+        return both & ((1 << bits) - 1), both >> bits
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
 def paired(x: np.ndarray, sample: np.ndarray) -> np.ndarray:
     """Triples of large symbols as integers in the same order: pairs are ranked first."""
     pair = np.unique(x[sample] << 31 | x[sample + 1], return_inverse=True)[1].astype(np.int64)

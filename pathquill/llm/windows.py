@@ -229,7 +229,7 @@ def repeated_ranges(docs: DataFrame, s: Symbols, solve: Callable[[list[bytes], i
             # some runs at a time keep the sort in the processor's cache
             cuts = [0]
             for e in starts[1:].tolist():
-                if e - cuts[-1] >= 500:
+                if e - cuts[-1] >= 150:
                     cuts.append(e)
             for a, e in zip(cuts, [*cuts[1:], t.num_rows], strict=True):
                 if e > a:
