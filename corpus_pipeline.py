@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathquill.llm import bpe_codec, decontamination, minhash_dedup, suffix_dedup, toxicity
-from pathquill.llm.common import checkpoint_dir, table
+from pathquill.llm.common import checkpoint_dir, drop_table, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}_{name}")
         docs = spark.read.parquet(f"{place}/{k}_{name}")
+        if k:
+            drop_table(spark, f"{place}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
