@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,19 +83,28 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.collections: dict[str, query.Collection] = {}
+        self.loaders: dict[str, Callable[[], query.Collection]] = {}
+
+    def register_later(self, name: str, load: Callable[[], DataFrame], key: str | None = None, json: dict[str, str] | None = None) -> Tables:
+        """As :meth:`register`, but the table is opened when a query first names it."""
+        self.loaders[name] = lambda: query.Collection(load(), key, json or {})
+        return self
 
     def register(self, name: str, df: DataFrame, key: str | None = None, json: dict[str, str] | None = None) -> Tables:
         self.collections[name] = query.Collection(df, key, json or {})
         return self
 
     def collection(self, name: str) -> query.Collection:
+        if name in self.loaders and name not in self.collections:
+            self.collections[name] = self.loaders[name]()
         if name not in self.collections:
             raise CollectionNotFoundError(f"no collection {name!r}")
         return self.collections[name]
 
     def _of(self, q: PathQuery | str, collection: str | None) -> tuple[PathQuery, query.Collection | None]:
         q = PathQuery(q) if isinstance(q, str) else q
-        return q, self.collections.get(collection or q.collection or "")
+        name = collection or q.collection or ""
+        return q, self.collection(name) if name in self.collections or name in self.loaders else None
 
     def query(self, q: PathQuery | str, collection: str | None = None, skip: int | None = None, limit: int | None = None) -> DataFrame:
         """The result of a query that changes nothing. A missing collection is empty, not an error."""

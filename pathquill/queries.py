@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,7 @@ KEYS = {
 def tables(spark: SparkSession, sf_dir: str, json_columns: bool = True) -> Tables:
     out = Tables(spark)
     for name, key in KEYS.items():
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        out.register(name, df, key, {"props": "struct<k:bigint>"} if name == "events" and json_columns else None)
+        out.register_later(name, partial(spark.read.parquet, f"{sf_dir}/{name}.parquet"), key, {"props": "struct<k:bigint>"} if name == "events" and json_columns else None)
     return out
 
 
