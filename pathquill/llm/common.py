@@ -35,6 +35,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def drop_table(spark: SparkSession, place: str) -> None:
+    """Deletes a table between steps that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession, rows: int | None = None, rows_per_task: int = 50_000) -> int:
     """Partitions for a shuffle of ``rows`` rows: the session's width at least."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))

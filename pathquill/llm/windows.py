@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint_dir, group_starts, settle, shuffle_width, whole_groups
+from .common import checkpoint_dir, drop_table, group_starts, settle, shuffle_width, whole_groups
 
 #: Windows of a run at most; longer runs, as in text of few symbols, are cut.
 LONGEST = 4096
@@ -300,11 +300,6 @@ def by_content(runs: DataFrame, s: Symbols) -> DataFrame:
     return both.groupBy("r1", "r2").agg(F.flatten(F.collect_set(F.array("at", "end"))).alias("marks"))
 
 
-def drop_table(spark: SparkSession, place: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def covered(marks, length: int, size: int) -> list[tuple[int, int]]:
     """Merged [start, end) symbol ranges that windows at ``marks`` (flat start, end pairs) cover."""
     if marks is None or not len(marks):
