@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Cache
-from .common import checkpoint_dir, crc_mod, table
+from .common import checkpoint_dir, crc_mod, drop_table, settle, table
 
 #: Classes: the end, single words, and endings.
 WORDS, ENDINGS = 159, 96
@@ -317,7 +317,7 @@ def score_texts(docs: DataFrame, learned: DataFrame, doc_id: str = "doc_id", tex
     sums = parts.groupBy("k1", "k2", "doc_id").agg(*(F.sum(x).alias(x) for x in ("rows", "n_tokens", "n_known", "base", "lm")))
     # equal rows were summed: each gets its share
     each = sums.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
-    return each.select(
+    result = each.select(
         "doc_id",
         F.expr("n_tokens div rows").alias("n_tokens"),
         F.expr("n_known div rows").alias("n_known"),
@@ -325,6 +325,9 @@ def score_texts(docs: DataFrame, learned: DataFrame, doc_id: str = "doc_id", tex
         (F.col("base") / F.col("rows")).alias("base_score"),
         (F.col("lm") / F.col("rows")).alias("score"),
     )
+    result = settle(result)
+    drop_table(spark, place)
+    return result
 
 
 def held_out(doc_id: str = "doc_id"):
