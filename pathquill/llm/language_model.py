@@ -283,15 +283,15 @@ def score_texts(docs: DataFrame, learned: DataFrame, doc_id: str = "doc_id", tex
                 lp = np.add.reduceat(scorer(contexts(flat, first), flat), first[:-1]) / math.log(10)
                 rows: list[tuple] = []
                 for d, ws in enumerate(words):
-                    base, inner, n_known, rest = end[0], end[1], end_known, Counter()
-                    for w in ws:
+                    base, inner, n_known, rest = end[0], end[1], end_known, {}
+                    for w, n in Counter(ws).items():
                         x = get(w)
                         if x:
-                            base += x[0]
-                            inner += x[1]
-                            n_known += 1
+                            base += n * x[0]
+                            inner += n * x[1]
+                            n_known += n
                         else:
-                            rest[w] += 1
+                            rest[w] = n
                     k1, k2, i = (k[a + d] for k in keys)
                     rows.append((b" %d %d" % (k1, k2), k1, k2, i, 0, len(ws) + 1, n_known, base, float(lp[d]) + inner, 0.0))
                     rows += [(w, k1, k2, i, n, 0, 0, 0.0, 0.0, share[ending(w)]) for w, n in rest.items()]
