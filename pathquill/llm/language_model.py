@@ -30,9 +30,11 @@ from .bpe import Cache
 from .common import checkpoint_dir, crc_mod, drop_table, settle, table
 
 #: Classes: the end, single words, and endings.
-WORDS, ENDINGS = 159, 96
+WORDS, ENDINGS = 255, 128
 CLASSES = 1 + WORDS + ENDINGS
-SIZE, CONTEXT, NOISE, BATCH = 16, 2, 48, 4096
+SIZE, CONTEXT, NOISE, BATCH = 16, 3, 48, 2048
+#: Normalisers that a task keeps, a power of two.
+KEPT = 1 << 20
 #: Words whose counts are broadcast.
 HEAD = 150_000
 END = b" "  # no word holds a space
@@ -69,15 +71,15 @@ def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_step(m: dict, grads: dict, noise_p: np.ndarray, ctx: np.ndarray, word: np.ndarray, times: np.ndarray, rng, rate: float) -> None:
-    """One noise-contrastive step with Adagrad on contexts and words that occur ``times``; the batch shares its noise."""
+def train_step(m: dict, grads: dict, noise_p: np.ndarray, ctx: np.ndarray, word: np.ndarray, rng, rate: float) -> None:
+    """One noise-contrastive step with Adagrad; noise words are shared by the batch."""
     noise = rng.choice(CLASSES, NOISE, p=noise_p)
     e = m["r"][ctx]  # batch, context, size
     h = (e * m["c"]).sum(1)
     log_kp = np.log(NOISE * noise_p).astype(np.float32)
     up = 1 / (1 + np.exp(np.clip(np.einsum("bd,bd->b", h, m["q"][word]) + m["b"][word] - log_kp[word], -20, 20)))  # 1 - sigmoid
     down = 1 / (1 + np.exp(-np.clip(h @ m["q"][noise].T + m["b"][noise] - log_kp[noise], -20, 20)))  # sigmoid
-    up, down, n = up * times, down * times[:, None], float(times.sum())
+    n = len(word)
     gh = up[:, None] * m["q"][word] - down @ m["q"][noise]
     gq = summed(word, up[:, None] * h, CLASSES) - summed(noise, down.T @ h, CLASSES)
     gb = np.bincount(word, up, CLASSES) - np.bincount(noise, down.sum(0), CLASSES)
@@ -90,7 +92,7 @@ def train_step(m: dict, grads: dict, noise_p: np.ndarray, ctx: np.ndarray, word:
 
 def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows at each place: a place's rows are brought together by sorting."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")  # places fit 16 bits, which numpy sorts by radix
     at = at[order]
     starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     out = np.zeros((size, rows.shape[1]), np.float32)
@@ -167,7 +169,7 @@ def classes_of(texts: list[str], classes: Cache) -> tuple[np.ndarray, np.ndarray
     return flat, first, words
 
 
-def train(docs: DataFrame, counts: Counts, rate: float = 0.08) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, counts: Counts, rate: float = 0.15) -> dict[str, np.ndarray]:
     """The model after one pass over all ``docs``, averaged over tasks by their tokens."""
     noise_p = (counts.mass + 1.0) / (counts.mass + 1.0).sum()
     start = start_of(np.log(noise_p))
@@ -182,13 +184,13 @@ def train(docs: DataFrame, counts: Counts, rate: float = 0.08) -> dict[str, np.n
         classes = Cache(lambda w: own.get(w) or ending(w))
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for k in range(0, len(texts), 600):
-                flat, first, _ = classes_of(texts[k : k + 600], classes)
-                ctx, word, times = distinct(contexts(flat, first), flat)
-                order = rng.permutation(len(word))
+            for k in range(0, len(texts), 200):
+                flat, first, _ = classes_of(texts[k : k + 200], classes)
+                ctx = contexts(flat, first)
+                order = rng.permutation(len(flat))
                 for a in range(0, len(order), BATCH):
                     pick = order[a : a + BATCH]
-                    train_step(m, grads, p, ctx[pick], word[pick], times[pick], rng, rate)
+                    train_step(m, grads, p, ctx[pick], flat[pick], rng, rate)
                 seen += len(flat)
         if seen:
             values = np.concatenate([m[k].reshape(-1) for k in shapes]).astype(np.float64) * seen
@@ -206,21 +208,13 @@ def train(docs: DataFrame, counts: Counts, rate: float = 0.08) -> dict[str, np.n
     return out
 
 
-def distinct(ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different contexts with their words, and how often each occurs: equal positions teach the same."""
-    code = word
-    for k in range(CONTEXT):
-        code = code * (CLASSES + 1) + ctx[:, k]
-    _, at, times = np.unique(code, return_index=True, return_counts=True)
-    return ctx[at], word[at], times.astype(np.float32)
-
-
 class Scorer:
-    """Log-probabilities under a model; a context's normaliser is computed once, with others in one product."""
+    """Log-probabilities under a model; the normalisers of the last contexts are kept, one at each place of a table."""
 
     def __init__(self, m: dict[str, np.ndarray]):
         self.m = m
-        self.log_z = np.full((CLASSES + 1) ** CONTEXT, np.nan, np.float32)
+        self.code = np.full(KEPT, -1, np.int64)
+        self.log_z = np.zeros(KEPT, np.float64)
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
         h = np.zeros((len(ctx), SIZE), np.float32)
@@ -234,15 +228,25 @@ class Scorer:
         for k in range(CONTEXT):
             code = code * (CLASSES + 1) + ctx[:, k]
         h = self.hidden(ctx)
-        new = np.flatnonzero(np.isnan(self.log_z[code]))
+        place = code * 0x9E3779B1 >> 20 & KEPT - 1
+        log_z = self.log_z[place]
+        new = np.flatnonzero(self.code[place] != code)
         if len(new):
-            codes, at = np.unique(code[new], return_index=True)
+            codes, at, back = np.unique(code[new], return_index=True, return_inverse=True)
+            z = np.empty(len(codes))
             for a in range(0, len(codes), BATCH):
-                s = h[new[at[a : a + BATCH]]] @ self.m["q"].T + self.m["b"]
+                s = h[new[at[a : a + BATCH]]] @ self.m["q"].T
+                s += self.m["b"]
                 top = s.max(1)
-                self.log_z[codes[a : a + BATCH]] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        mine = np.einsum("nd,nd->n", h, self.m["q"][word]) + self.m["b"][word]
-        return (mine - self.log_z[code]).astype(np.float64)
+                s -= top[:, None]
+                np.exp(s, out=s)
+                z[a : a + BATCH] = top + np.log(s.sum(1))
+            log_z[new] = z[back]
+            # of codes that share a place the last stays, in both arrays alike
+            there, last = np.unique(place[new[at]][::-1], return_index=True)
+            last = len(codes) - 1 - last
+            self.code[there], self.log_z[there] = codes[last], z[last]
+        return np.einsum("nd,nd->n", h, self.m["q"][word]) + self.m["b"][word] - log_z
 
 
 def score_texts(docs: DataFrame, learned: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -208,6 +208,30 @@ def test_language_model_is_normalised():
     assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_language_model_keeps_its_size(spark):
+    """Rank 200 has a class of its own, the third class back counts, and a step takes 2,048 positions."""
+    words = spark.createDataFrame([(b"w%d" % i, 1000 - i) for i in range(300)], "token binary, c long")
+    counts = language_model.gather(spark, words)
+    assert len(counts.own) == 255 and counts.own[b"w200"] == 201 and len(counts.mass) == 1 + 255 + 128
+    ctx = np.array([[5, 6, 7], [5, 6, 8]])
+    m = language_model.start_of(np.zeros(language_model.CLASSES))
+    third = language_model.Scorer(m)(ctx, np.array([1, 1]))
+    assert abs(third[0] - third[1]) > 1e-6
+    assert language_model.BATCH == 2048
+
+
+def test_kept_normalisers_change_nothing(monkeypatch):
+    monkeypatch.setattr(language_model, "KEPT", 8)
+    rng = np.random.default_rng(6)
+    m = language_model.start_of(rng.normal(size=language_model.CLASSES))
+    scorer = language_model.Scorer(m)
+    for _ in range(3):
+        ctx, word = rng.integers(0, 4, (50, language_model.CONTEXT)), rng.integers(0, language_model.CLASSES, 50)
+        s = (m["r"][ctx] * m["c"]).sum(1) @ m["q"].T + m["b"]
+        plain = s[np.arange(50), word] - np.log(np.exp(s).sum(1))
+        assert scorer(ctx, word) == pytest.approx(plain, abs=1e-5)
+
+
 @pytest.mark.parametrize(
     "run",
     [
