@@ -71,9 +71,13 @@ def sketches(h: np.ndarray) -> list[int]:
 
 
 def most_edits(a: int, b: int, threshold: float) -> int:
-    """Edits between texts of ``a`` and ``b`` shingles at the threshold: each costs a shingle of the longer one at least."""
+    """Edits that a cheapest alignment of texts of ``a`` and ``b`` shingles has at most, if they reach the threshold.
+
+    Every word outside the matched runs, and every shingle that a break between two runs costs, is missing
+    in ``a + b - 2 * common``; an edit leaves one such word at least. One more is for rounding.
+    """
     common = threshold * (a + b) / (1 + threshold)
-    return max(int(max(a, b) - common) + 1, 1)
+    return int(a + b - 2 * common) + 1
 
 
 def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> list[int] | None:
@@ -97,32 +101,41 @@ def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> list[int] | None:
             i, j, step = i + k, j + k, step * 4
         return i - start
 
-    # diagonal d = i - j; reach[d] = furthest i
-    reach = {0: slide(0, 0)}
-    history = [reach]
+    # diagonal d = i - j; a row has the furthest i on each from its first, -2 where none is
     goal = n - m
-    while reach.get(goal, -1) < n:
-        if len(history) > band:
+    rows = [(0, np.array([slide(0, 0)], np.int32))]
+
+    def furthest(row: tuple[int, np.ndarray], d: int) -> int:
+        first, reach = row
+        return int(reach[d - first]) if 0 <= d - first < len(reach) else -2
+
+    while furthest(rows[-1], goal) < n:
+        e = len(rows)
+        if e > band:
             return None
-        step = {}
-        for d in range(-len(history), len(history) + 1):
-            if not -m <= d <= n:
-                continue
-            best = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2))
-            best = min(best, n, m + d)
-            if best < max(d, 0):
-                continue
-            step[d] = best + slide(best, best - d)
-        reach = step
-        history.append(reach)
+        # from other diagonals the goal is out of the band's reach
+        lo, hi = max(-e, -m, goal - (band - e)), min(e, n, goal + (band - e))
+        first, reach = rows[-1]
+        last = np.full(hi - lo + 3, -2, np.int32)  # lo - 1 to hi + 1
+        x, y = max(first, lo - 1), min(first + len(reach), hi + 2)
+        last[x - lo + 1 : y - lo + 1] = reach[x - first : y - first]
+        d = np.arange(lo, hi + 1, dtype=np.int32)
+        best = np.minimum(np.maximum(np.maximum(last[1:-1], last[:-2]) + 1, last[2:]), np.minimum(n, m + d))
+        best[best < np.maximum(d, 0)] = -2
+        at = np.flatnonzero((best >= 0) & (best < n) & (best - d < m))
+        at = at[a[best[at]] == b[(best - d)[at]]]
+        for k in at.tolist():
+            i = int(best[k])
+            best[k] = i + slide(i, i - lo - k)
+        rows.append((lo, best))
     runs, d, i = [], goal, n
-    for e in range(len(history) - 1, 0, -1):
-        last = history[e - 1]
-        choices = ((last.get(d, -2) + 1, d), (last.get(d - 1, -2) + 1, d - 1), (last.get(d + 1, -2), d + 1))
+    for e in range(len(rows) - 1, 0, -1):
+        last = rows[e - 1]
+        choices = ((furthest(last, d) + 1, d), (furthest(last, d - 1) + 1, d - 1), (furthest(last, d + 1), d + 1))
         start, came = max(choices, key=lambda c: min(c[0], n, m + d))
         start = min(start, n, m + d)
         runs.append(i - start)
-        d, i = came, last[came]
+        d, i = came, furthest(last, came)
     runs.append(i)
     return runs
 

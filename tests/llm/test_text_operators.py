@@ -177,6 +177,28 @@ def test_alignment_against_plain_table():
         assert edits == 0 or minhash_dedup.aligned_runs(a, b, edits - 1) is None
 
 
+def test_band_keeps_other_heads_and_tails(spark):
+    rng = np.random.default_rng(9)
+    seen = 0
+    for _ in range(60):
+        core = rng.integers(0, 1 << 60, 97).astype(np.uint64)
+        own = [rng.integers(0, 1 << 60, rng.integers(0, 9)).astype(np.uint64) for _ in range(4)]
+        a, b = np.concatenate([own[0], core, own[1]]), np.concatenate([own[2], core, own[3]])
+        if rng.random() < 0.5:
+            b = np.delete(b, rng.integers(len(b)))
+        runs = minhash_dedup.aligned_runs(a, b, len(a) + len(b))
+        common = sum(max(r - 4, 0) for r in runs)
+        plain = common / (len(a) + len(b) - 8 - common)
+        got = minhash_dedup.ordered_similarity(a, b, 0.8)
+        assert got == plain or plain < 0.8 and got < 0.8
+        seen += plain >= 0.8
+    assert seen > 20
+    words = ["w%d" % i for i in range(111)]
+    rows = [(1, " ".join(words[:104])), (2, " ".join(words[7:]))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1}
+
+
 def test_order_matters():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 60, 200).astype(np.uint64)
