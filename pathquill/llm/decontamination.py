@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -42,14 +43,15 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.items: list[str] = []
+        places: dict[str, int] = {}  # of the items' ids as text: a repeated id is one item
         found: dict[tuple[int, ...], set[int]] = defaultdict(set)
         for item_id, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
             if ids and item_id is not None:
-                self.items.append(str(item_id))
+                place = places.setdefault(str(item_id), len(places))
                 for i in range(max(1, len(ids) - window + 1)):
-                    found[tuple(ids[i : i + window])].add(len(self.items) - 1)
+                    found[tuple(ids[i : i + window])].add(place)
+        self.items = list(places)
         self.phrases = list(found)
         self.holders = [sorted(s) for s in found.values()]
 
@@ -86,11 +88,13 @@ def term_counts(docs: DataFrame, text: str, windows: Windows) -> np.ndarray:
     return counts
 
 
-INDEX = "n_words long, terms array<int>, starts array<int>, positions array<int>"
+INDEX = "n_words long, terms array<int>, starts array<int>, positions array<int>, k1 long, k2 long"
+#: What names a row in the indexes of several blocks: two hashes of id and text, and the id.
+KEYS = ["k1", "k2", "doc_id"]
 
 
 def build_index(docs: DataFrame, windows: Windows, doc_id: str = "doc_id", text: str = "text", reach: int = WINDOW) -> DataFrame:
-    """One row for each document: its length and the postings within ``reach`` words of an anchor.
+    """One row for each document: its length, the postings within ``reach`` words of an anchor, and its hashes.
 
     ``terms`` are ascending; the positions of ``terms[k]`` are ``positions[starts[k]:starts[k+1]]``.
     """
@@ -116,9 +120,10 @@ def build_index(docs: DataFrame, windows: Windows, doc_id: str = "doc_id", text:
                 starts.append(np.append(first, len(pos)).astype(np.int32))
                 positions.append(pos.astype(np.int32))
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), *(pa.array(x, ints) for x in (terms, starts, positions))], names=["doc_id", "n_words", "terms", "starts", "positions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), *(pa.array(x, ints) for x in (terms, starts, positions)), batch.column(2), batch.column(3)], names=["doc_id", "n_words", "terms", "starts", "positions", "k1", "k2"])
 
-    return settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(index, f"doc_id {kind}, {INDEX}"))
+    keys = F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, F.lit(1), doc_id).alias("k2")
+    return settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keys).mapInArrow(index, f"doc_id {kind}, {INDEX}"))
 
 
 def phrase_matches(windows: Windows, lists: dict[int, np.ndarray]) -> Iterator[tuple[int, set[int]]]:
@@ -171,7 +176,7 @@ def unpack(terms, starts, positions) -> dict[int, np.ndarray]:
 
 
 def search(index: DataFrame, windows: Windows) -> DataFrame:
-    """``doc_id, n_words, hits, items`` for each document: merged [start, end) word runs and item ids."""
+    """``doc_id, n_words, hits, items, k1, k2`` for each document: merged [start, end) word runs, item ids, the row's hashes."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
     kind = index.schema["doc_id"].dataType.simpleString()
 
@@ -192,9 +197,9 @@ def search(index: DataFrame, windows: Windows) -> DataFrame:
                     runs = merge_runs(spans)
                 hits.append(runs)
                 items.append([w.items[k] for k in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), batch.column(5), batch.column(6)], names=["doc_id", "n_words", "hits", "items", "k1", "k2"])
 
-    return index.mapInArrow(look, f"doc_id {kind}, n_words long, hits array<array<bigint>>, items array<string>")
+    return index.mapInArrow(look, f"doc_id {kind}, n_words long, hits array<array<bigint>>, items array<string>, k1 long, k2 long")
 
 
 def merge_runs(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -223,19 +228,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     ``hits`` are the merged [start, end) word runs inside occurrences of benchmark windows; ``items`` the
     ids, as text, of items with an occurring window. Null and empty texts have no words. Items without
-    words, or with a null id, are left out; repeated items count once. Document ids are assumed
-    unique only where the benchmark takes several blocks, whose results are then merged by id.
+    words, or with a null id, are left out; repeated items count once. Every row has
+    its own result, whatever the number of blocks that the benchmark takes: repeated rows are counted, and
+    rows that share an id, or have none, stay apart.
     """
-    found = None
+    parts = []
     for block in item_blocks(benchmark, item_id, item_text):
         windows = Windows(block, window)
-        part = search(build_index(docs, windows, doc_id, text, window), windows)
-        found = part if found is None else found.union(part)
-        several = found is not part
-    if several:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = found.withColumn("hits", merged_hits(F.col("hits")))
-    return found
+        parts.append(search(build_index(docs, windows, doc_id, text, window), windows))
+    found = parts[0]
+    if len(parts) > 1:
+        # equal rows have equal results: each block gives one of them and their number
+        one = [part.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n_words", "hits", "items"))) for part in parts]
+        found = reduce(DataFrame.union, one).groupBy(*KEYS).agg(F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = found.withColumn("hits", merged_hits(F.col("hits"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return found.select("doc_id", "n_words", "hits", "items")
 
 
 def merged_hits(hits):

@@ -93,6 +93,27 @@ def test_decontamination(spark, docs, texts):
     assert {r.doc_id for r in kept} == {k for k in got if not got[k].hits}
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Repeated rows, ids of several texts, null ids and repeated items: small blocks give what one block gives."""
+    w = ["w%d" % i for i in range(60)]
+    text = [" ".join(w[:15]), " ".join(w[20:40]), " ".join(w[5:30])]
+    rows = [(1, text[0]), (1, text[0]), (1, text[1]), (2, text[2]), (2, None), (None, text[0]), (None, text[1]), (None, None), (None, None), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(7, " ".join(w[:12])), (7, " ".join(w[:12])), (7, " ".join(w[22:34])), (8, " ".join(w[10:22])), (9, "x"), (10, " ".join(w[30:45]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        got = decontamination.contamination(df, bench).collect()
+        return sorted((str(r.doc_id), r.n_words, str(r.hits), ",".join(sorted(r["items"]))) for r in got)
+
+    one = found()
+    assert len(one) == len(rows)
+    assert [x[3] for x in one if x[1] == 15] == ["7"] * 3
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
+    assert len(list(decontamination.item_blocks(bench, "item_id", "text"))) > 2
+    assert found() == one
+
+
 def test_proximity():
     windows = decontamination.Windows([(1, "red green blue")])
     words = decontamination.words_of("blue x red y green z red")
