@@ -1,8 +1,9 @@
 """License scans with DataFrame operations alone.
 
-Lines (headers) and whole texts (licence files) are compared to templates by the cosine of sparse TF-IDF
+Lines and runs of lines (headers, which may be wrapped) and whole texts (licence files) are compared to templates by the cosine of sparse TF-IDF
 vectors, with document frequencies over all documents. A text can only reach the threshold if it holds an anchor, one of the heaviest terms without
-which the cosine stays below it, so a scan by regular expression leaves few lines to split. A file
+which the cosine stays below it, so a scan by regular expression leaves few lines to split; and only if the squared weights
+of its terms in some template sum to the squared threshold, so runs of lines are tried in few texts. A file
 without a licence of its own takes the one of the nearest ancestor directory that has a licence file.
 """
 
@@ -11,8 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -44,6 +46,12 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+#: Terms of a run of lines at most: of more than this, too few can be a template's.
+RUN_TERMS = 4 * max(len(terms(text)) for _, text in TEMPLATES)
+
+
+def split_terms(text):
+    return F.filter(F.split(F.lower(text), GAP), lambda t: t != "")
 
 
 def document_counts(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
@@ -87,6 +95,64 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
     return sorted(out)
 
 
+def can_reach(found, rows: list[tuple[int, str, str, float]], threshold: float):
+    """Whether texts with these terms can reach the threshold: a cosine is at most the length of the template's part on them."""
+
+    def mass(held, k: int):
+        pairs = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w * w).alias("mass")) for j, _, t, w in rows if j == k))
+        return F.aggregate(pairs, F.lit(0.0), lambda sum, p: sum + F.when(F.array_contains(held, p["term"]), p["mass"]).otherwise(0.0))
+
+    def some(held):
+        return reduce(Column.__or__, (mass(held, k) >= threshold**2 - 1e-6 for k in sorted({r[0] for r in rows})))
+
+    # the array of one is where the terms are computed once
+    return F.exists(F.array(F.array_intersect(found, F.array(*map(F.lit, VOCABULARY)))), some)
+
+
+def line_runs(held: DataFrame, rows: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
+    """``file_id, row, i, j, unit``: runs of lines, i to j, that can reach the threshold; lines without terms aside.
+
+    A run begins and ends at lines with a template's term, as others only lower its cosine.
+    """
+    vocabulary = F.array(*map(F.lit, VOCABULARY))
+
+    def line(x):
+        # one array of terms for both figures
+        return F.transform(F.array(split_terms(x)), lambda t: F.struct(x.alias("line"), F.size(t).alias("n"), (F.size(F.array_intersect(t, vocabulary)) > 0).alias("known")))[0]
+
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), line), lambda x: x["n"] > 0)
+    ahead = F.flatten(F.transform(F.array(lines), lambda all: F.transform(all, lambda x, i: F.struct(i.alias("i"), x["known"].alias("known"), F.slice(all, i + 1, F.lit(RUN_TERMS)).alias("ahead")))))
+    numbered = held.select("file_id", "text", F.monotonically_increasing_id().alias("row"))  # before a row becomes several
+    starts = numbered.select("file_id", "row", F.explode(F.filter(ahead, lambda x: x["known"])).alias("at"))
+    # how many lines from here hold RUN_TERMS terms at most; one line is a run however long
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"))
+    fits = F.aggregate("at.ahead", zero, lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), (s["lines"] + F.when(s["n"] + x["n"] <= RUN_TERMS, 1).otherwise(0)).alias("lines")), lambda s: s["lines"])
+    ends = starts.select("file_id", "row", "at", F.explode(F.sequence(F.lit(1), F.greatest(fits, F.lit(1)))).alias("n"))
+    ends = ends.where(F.col("at.ahead")[F.col("n") - 1]["known"])
+    unit = F.array_join(F.transform(F.slice("at.ahead", F.lit(1), F.col("n")), lambda x: x["line"]), " ")
+    runs = ends.select("file_id", "row", F.col("at.i").alias("i"), (F.col("at.i") + F.col("n") - 1).alias("j"), unit.alias("unit"))
+    return settle(runs.where(can_reach(split_terms("unit"), rows, threshold)))
+
+
+def wrapped_headers(runs: DataFrame, named: DataFrame) -> DataFrame:
+    """``file_id, times, license, cosine`` of each text's best run, and how many headers of several lines it has.
+
+    Headers are taken from the nearest, without those that overlap one already taken. One that holds a line
+    which is a header alone is that line's, which is counted there.
+    """
+    near = runs.join(named, "unit")
+    order = F.struct((-F.col("cosine")).alias("far"), (F.col("i") - F.col("j")).alias("short"), "i", "j")
+    each = near.groupBy("file_id", "row").agg(F.array_sort(F.collect_list(order)).alias("found"), F.max_by("license", F.struct("cosine", "license")).alias("license"), F.max("cosine").alias("cosine"))
+    taken = F.aggregate(
+        F.filter("found", lambda x: x["short"] < 0),
+        F.slice("found", 1, 0),
+        lambda done, x: F.when(F.exists(done, lambda d: (d["i"] <= x["j"]) & (x["i"] <= d["j"])), done).otherwise(F.array_append(done, x)),
+    )
+    each = each.withColumn("alone", F.filter("found", lambda x: x["short"] == 0))
+    own = F.filter(taken, lambda x: ~F.exists("alone", lambda d: (d["i"] >= x["i"]) & (d["i"] <= x["j"])))
+    return each.select("file_id", F.size(own).cast("long").alias("times"), "license", "cosine")
+
+
 def best_license(units: DataFrame, keys: list[str], text: str, threshold: float, model) -> DataFrame:
     """``keys, license, cosine`` of the nearest template of each text that reaches the threshold."""
     spark = units.sparkSession
@@ -104,8 +170,8 @@ def best_license(units: DataFrame, keys: list[str], text: str, threshold: float,
 def license_scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``file_id, license, n_headers, is_license_file, inherited_from, effective_license`` for every distinct id.
 
-    ``license`` is the nearest template of the file's best line (the first of equal cosine), or of its
-    whole text; null without one. A file is a licence file if its whole text reaches the threshold;
+    ``license`` is the nearest template of the file's best line or run of lines (the first of equal cosine), or of its
+    whole text; null without one. ``n_headers`` counts lines that are headers alone, and headers wrapped over several. A file is a licence file if its whole text reaches the threshold;
     it speaks for its directory (of several, the nearest template wins) and for all below without
     a nearer one. Null or empty texts have no licence but inherit; a null path has no directory and
     inherits nothing. Ids are taken as unique; a repeated one is one file with all its rows' lines.
@@ -114,12 +180,14 @@ def license_scan(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     model = weighted(*document_counts(docs, "text"))
     pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])(?:" + "|".join(map(re.escape, anchors(model[0], threshold))) + r")(?:$|[^a-z0-9\u0080-￿])"
     # the texts that hold an anchor are read once more as lines and as wholes; distinct lines are few
-    held = docs.where(F.col("text").rlike(pattern))
+    held = docs.where(F.col("text").rlike(pattern)).where(can_reach(split_terms("text"), model[0], threshold))
+    runs = line_runs(held, model[0], threshold)
     lines = held.select("file_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(F.col("line").rlike(pattern))
     lines = settle(lines.groupBy("file_id", "line").agg(F.count("*").alias("times")))
-    distinct = lines.select("line").distinct().withColumn("unit", F.col("line"))
-    named = best_license(distinct, ["unit"], "line", threshold, model)
-    headers = lines.join(named.withColumnRenamed("unit", "line"), "line").groupBy("file_id").agg(F.sum("times").alias("n_headers"), F.max_by("license", F.struct("cosine", "license")).alias("header"), F.max("cosine").alias("cosine"))
+    distinct = lines.select("line").union(runs.select("unit")).distinct().withColumn("unit", F.col("line"))
+    named = settle(best_license(distinct, ["unit"], "line", threshold, model))
+    alone = lines.join(named.withColumnRenamed("unit", "line"), "line").select("file_id", "times", "license", "cosine")
+    headers = alone.union(wrapped_headers(runs, named)).groupBy("file_id").agg(F.sum("times").alias("n_headers"), F.max_by("license", F.struct("cosine", "license")).alias("header"), F.max("cosine").alias("cosine"))
     # a whole text is near a template only if it is about as long: its norm is at most the dot over the threshold
     whole = best_license(held.select("file_id", "text"), ["file_id"], "text", threshold, model).select("file_id", F.col("license").alias("whole"), F.col("cosine").alias("whole_cosine"))
     ids = docs.select("file_id", directory("path").alias("dir")).groupBy("file_id").agg(F.min("dir").alias("dir"))

@@ -129,6 +129,29 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_license_headers(spark):
+    words = {name: text.split() for name, text in licenses.TEMPLATES}  # the last, longest template of each
+    code = "\n".join("def f%d(x): return x + %d  # some code here" % (i, i) for i in range(30))
+
+    def wrapped(name, n, mark):
+        w = words[name]
+        return "\n".join(mark + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    files = [
+        (1, "a/x.py", wrapped("MIT", 11, "# ") + "\n" + code),
+        (2, "b/x.c", "int x;\n/*\n *\n" + wrapped("Apache-2.0", 7, " * ") + "\n */\n" + code),
+        (3, "c/LICENSE", "Released under the MIT License."),
+        (4, "c/x.py", code + "\n" + wrapped("GPL-3.0", 7, "// ") + "\nx = 1\n" + wrapped("MIT", 11, "") + "\n" + code),
+        (5, "d/x.py", code + "\nThe license of this software and a copy\n" + code),
+    ]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    assert (got[1].license, got[1].n_headers, got[1].is_license_file) == ("MIT", 1, False)
+    assert (got[2].license, got[2].n_headers) == ("Apache-2.0", 1)
+    assert got[4].license in ("MIT", "GPL-3.0") and got[4].n_headers == 2 and got[4].inherited_from is None
+    assert (got[5].license, got[5].n_headers) == (None, 0)
+
+
 def test_license_anchors_lose_nothing():
     """A text without any anchor stays below the threshold, by brute force over the templates' other terms."""
     rows, unknown, idf = licenses.weighted()
