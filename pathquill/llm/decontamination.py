@@ -175,31 +175,40 @@ def unpack(terms, starts, positions) -> dict[int, np.ndarray]:
     return {int(t): positions[a:b] for t, a, b in zip(terms, starts[:-1], starts[1:], strict=True)}
 
 
-def search(index: DataFrame, windows: Windows) -> DataFrame:
-    """``doc_id, n_words, hits, items, k1, k2`` for each document: merged [start, end) word runs, item ids, the row's hashes."""
+def search(index: DataFrame, windows: Windows, slop: int | None = None) -> DataFrame:
+    """``doc_id, n_words, hits, items, near, near_items, k1, k2`` for each document: merged [start, end) word runs and item ids.
+
+    ``hits`` and ``items`` are of exact matches, ``near`` and ``near_items`` of proximity matches with ``slop``; without one
+    they are empty. ``k1, k2`` are the row's hashes.
+    """
     shared = index.sparkSession.sparkContext.broadcast(windows)
     kind = index.schema["doc_id"].dataType.simpleString()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            hits, items = [], []
+            hits, items, near, near_items = [], [], [], []
             lists = [(c.offsets.to_numpy(), c.flatten().to_numpy()) for c in (batch.column(k) for k in (2, 3, 4))]
             for r in range(batch.num_rows):
                 terms, starts, positions = (v[o[r] - o[0] : o[r + 1] - o[0]] for o, v in lists)
-                runs: list[list[int]] = []
-                held: set[int] = set()
+                spans, held, near_spans, near_held = [], set(), [], set()
                 if len(terms):
-                    spans = []
-                    for k, found in phrase_matches(w, unpack(terms, starts, positions)):
+                    postings = unpack(terms, starts, positions)
+                    for k, found in phrase_matches(w, postings):
                         spans += [(s, s + len(w.phrases[k])) for s in found]
                         held.update(w.holders[k])
-                    runs = merge_runs(spans)
-                hits.append(runs)
+                    if slop is not None:
+                        for k, first, last in proximity_matches(w, postings, slop):
+                            near_spans.append((first, last + 1))
+                            near_held.update(w.holders[k])
+                hits.append(merge_runs(spans))
                 items.append([w.items[k] for k in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), batch.column(5), batch.column(6)], names=["doc_id", "n_words", "hits", "items", "k1", "k2"])
+                near.append(merge_runs(near_spans))
+                near_items.append([w.items[k] for k in near_held])
+            runs, ids = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, runs), pa.array(items, ids), pa.array(near, runs), pa.array(near_items, ids), batch.column(5), batch.column(6)], names=["doc_id", "n_words", "hits", "items", "near", "near_items", "k1", "k2"])
 
-    return index.mapInArrow(look, f"doc_id {kind}, n_words long, hits array<array<bigint>>, items array<string>, k1 long, k2 long")
+    return index.mapInArrow(look, f"doc_id {kind}, n_words long, hits array<array<bigint>>, items array<string>, near array<array<bigint>>, near_items array<string>, k1 long, k2 long")
 
 
 def merge_runs(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -223,11 +232,12 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[
             yield [tuple(r) for r in block]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, hits, items`` for every row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """``doc_id, n_words, hits, items`` for every row of ``docs``; with a ``slop`` also ``near, near_items``.
 
     ``hits`` are the merged [start, end) word runs inside occurrences of benchmark windows; ``items`` the
-    ids, as text, of items with an occurring window. Null and empty texts have no words. Items without
+    ids, as text, of items with an occurring window. ``near`` and ``near_items`` are the same for stretches of
+    at most window + ``slop`` words that hold all terms of a window in any order. Null and empty texts have no words. Items without
     words, or with a null id, are left out; repeated items count once. Every row has
     its own result, whatever the number of blocks that the benchmark takes: repeated rows are counted, and
     rows that share an id, or have none, stay apart.
@@ -235,14 +245,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     parts = []
     for block in item_blocks(benchmark, item_id, item_text):
         windows = Windows(block, window)
-        parts.append(search(build_index(docs, windows, doc_id, text, window), windows))
+        parts.append(search(build_index(docs, windows, doc_id, text, window + (slop or 0)), windows, slop))
     found = parts[0]
+    hits, items = (["hits"], ["items"]) if slop is None else (["hits", "near"], ["items", "near_items"])
     if len(parts) > 1:
         # equal rows have equal results: each block gives one of them and their number
-        one = [part.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n_words", "hits", "items"))) for part in parts]
-        found = reduce(DataFrame.union, one).groupBy(*KEYS).agg(F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = found.withColumn("hits", merged_hits(F.col("hits"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return found.select("doc_id", "n_words", "hits", "items")
+        one = [part.groupBy(*KEYS).agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ["n_words", *hits, *items])) for part in parts]
+        gathered = {c: F.flatten(F.collect_list(c)) for c in hits + items}
+        gathered |= {c: F.array_distinct(gathered[c]) for c in items}
+        found = reduce(DataFrame.union, one).groupBy(*KEYS).agg(F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), *(x.alias(c) for c, x in gathered.items()))
+        found = found.withColumns({c: merged_hits(F.col(c)) for c in hits}).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return found.select("doc_id", "n_words", "hits", "items", *hits[1:], *items[1:])
 
 
 def merged_hits(hits):

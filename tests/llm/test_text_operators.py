@@ -125,6 +125,21 @@ def test_proximity():
     assert list(decontamination.proximity_matches(windows, lists, 0)) == []
 
 
+@pytest.mark.parametrize("size", [8_000_000, 60])
+def test_proximity_from_the_index(spark, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+    w = ["w%d" % i for i in range(40)]
+    far = [*w[:9], *["x%d" % i for i in range(12)], w[9]]
+    rows = [(1, " ".join(w[:10])), (2, " ".join(["a", *w[:4], "new", w[5], w[4], *w[6:10], "b"])), (3, " ".join(far)), (4, None)]
+    bench = spark.createDataFrame([(7, " ".join(w[:10])), (8, " ".join(w[12:22])), (9, " ".join(w[25:35]))], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(decontamination.contamination(df, bench, slop=2))
+    assert {k: (r.hits, r.near, r.near_items) for k, r in got.items()} == {1: ([[0, 10]], [[0, 10]], ["7"]), 2: ([], [[1, 12]], ["7"]), 3: ([], [], []), 4: ([], [], [])}
+    # the last word needs the wider reach
+    assert by_id(decontamination.contamination(df, bench, slop=12))[3].near == [[0, 22]]
+    assert decontamination.contamination(df, bench).columns == ["doc_id", "n_words", "hits", "items"]
+
+
 def test_token_counts(docs, texts):
     from tokenizers import Tokenizer
 
