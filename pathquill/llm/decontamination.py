@@ -13,6 +13,7 @@ items there are; each block has its own index.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import checkpoint_dir, settle, table
 
 WINDOW = 10
 #: Bytes of benchmark text that one block holds at most, on average: the bound of what is broadcast.
@@ -274,33 +275,18 @@ def merged_hits(hits):
 def drop_contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", share: float = 0.0) -> DataFrame:
     """Rows of ``docs``, all columns, of whose words at most ``share`` lie in benchmark windows.
 
-    The decision is made beside the text, so the text is never joined.
+    The words in windows are those that :func:`contamination` finds over all blocks; rows are dropped by two hashes
+    of their text, written down first so that Spark sees how few they are.
     """
     spark = docs.sparkSession
-    kept = docs
-    for block in item_blocks(benchmark, "item_id", "text"):
-        windows = Windows(block, window)
-        windows.plan(term_counts(kept, text, windows))
-        shared = spark.sparkContext.broadcast(windows)
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w = shared.value
-            for batch in batches:
-                mask = []
-                for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                    ids = term_ids(words_of(t), w.vocab)
-                    hit = 0
-                    if w.is_anchor[ids[ids >= 0]].any():
-                        pos = np.flatnonzero(ids >= 0)
-                        pos = pos[np.argsort(ids[pos], kind="stable")]
-                        first = np.flatnonzero(np.diff(ids[pos], prepend=-1))
-                        lists = unpack(ids[pos][first], np.append(first, len(pos)), pos)
-                        hit = sum(b - a for a, b in merge_runs([(s, s + len(w.phrases[k])) for k, f in phrase_matches(w, lists) for s in f]))
-                    mask.append(hit <= share * len(ids))
-                yield batch.filter(pa.array(mask, pa.bool_()))
-
-        kept = kept.mapInArrow(keep, kept.schema)
-    return kept
+    keys = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    marked = docs.select(F.struct(keys[0].alias("_gone1"), keys[1].alias("_gone2")).alias("doc_id"), F.col(text).alias("text"))
+    found = contamination(marked, benchmark, window=window)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, run: n + run[1] - run[0])
+    place = f"{checkpoint_dir(spark)}/contaminated-{uuid.uuid4().hex}"
+    found.where(n_hit > share * F.col("n_words")).select("doc_id.*").distinct().write.parquet(place)
+    gone = spark.read.parquet(place)
+    return docs.join(gone, (keys[0] == gone["_gone1"]) & (keys[1] == gone["_gone2"]), "left_anti")
 
 
 def digest(items: list[str]) -> str:

@@ -114,6 +114,20 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert found() == one
 
 
+def test_dropping_takes_the_index(spark, monkeypatch):
+    """Rows are dropped by what the index finds, and shares count the words of all blocks together."""
+    w = ["w%d" % i for i in range(40)]
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join(w[:12] + ["x"] * 30)), (None, None), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(w[:14])), (8, " ".join(w[20:34]))], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 30)
+    built, build = [], decontamination.build_index
+    monkeypatch.setattr(decontamination, "build_index", lambda *a: built.append(1) or build(*a))
+    kept = decontamination.drop_contaminated_words(df, bench, share=0.5)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "None"]
+    assert built and kept.columns == df.columns
+
+
 def test_proximity():
     windows = decontamination.Windows([(1, "red green blue")])
     words = decontamination.words_of("blue x red y green z red")
