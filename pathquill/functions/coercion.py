@@ -8,6 +8,11 @@ from __future__ import annotations
 
 import re
 
+try:
+    import regex as patterns  # knows \p{L}, as the JVM's patterns do
+except ImportError:
+    patterns = re
+
 
 def is_number(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
@@ -106,7 +111,7 @@ def scalar_text(x) -> str | None:
 
 def regex_found(pattern: str, text: str) -> bool:
     """Unanchored search; the empty pattern finds the empty text alone."""
-    return bool(re.search(pattern, text)) if pattern else not text
+    return bool(patterns.search(pattern, text)) if pattern else not text
 
 
 def holds(left, op: str, right) -> bool:
