@@ -106,12 +106,15 @@ class Tables:
         name = collection or q.collection or ""
         return q, self.collection(name) if name in self.collections or name in self.loaders else None
 
-    def query(self, q: PathQuery | str, collection: str | None = None, skip: int | None = None, limit: int | None = None) -> DataFrame:
-        """The result of a query that changes nothing. A missing collection is empty, not an error."""
+    def query(self, q: PathQuery | str, collection: str | None = None, skip: int | None = None, limit: int | None = None, unresolved: bool = False) -> DataFrame:
+        """The result of a query; patches show in it but are not written. A missing collection is empty, not an error.
+
+        With ``unresolved``, columns ``<field>__ref`` keep the values of references that find nothing.
+        """
         q, c = self._of(q, collection)
         if c is None:
             return self.spark.range(0).select(F.lit(None).alias("none")).limit(0) if not q.has_count else self.spark.range(1).select(F.lit(0).cast("long").alias("count"))
-        return query.select(c, q.bound, self.collection, skip, limit)
+        return query.select(c, q.bound, self.collection, skip, limit, unresolved)
 
     def changed(self, q: PathQuery | str, collection: str | None = None) -> DataFrame:
         """The collection as it is after the query's apply, upsert or del."""

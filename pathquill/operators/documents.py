@@ -57,9 +57,9 @@ def matching(docs: DataFrame, q: Query) -> DataFrame:
         wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("_at"), F.lit(k).alias("_key")) for i, k in enumerate(keys))))
         wanted = docs.sparkSession.range(1).select(wanted.alias("_k")).select("_k.*")  # the keys of the query's text
         return found.join(F.broadcast(wanted), F.col("id") == F.col("_key")).orderBy("_at").select("id", "doc")
-    truth = variant.where(q.where, F.try_parse_json("doc"))
-    if truth is not None:
-        return docs.where(truth)
+    if variant.where(q.where, F.lit(None).cast("variant")) is not None:
+        # the array of one is where the text is parsed once for all comparisons
+        return docs.where(F.exists(F.array(F.try_parse_json("doc")), lambda value: variant.where(q.where, value)))
     return mapped(docs, lambda i, value: (value,) if matches(q, value) else None)
 
 

@@ -35,19 +35,61 @@ def merged(c: Column, kind: T.DataType, patch) -> Column:
     return literal(patch, kind)
 
 
-def at_path(c: Column, kind: T.DataType, parts: list[str], change) -> Column:
+def at_path(c: Column, kind: T.DataType, parts: list[str], change, create: bool = False) -> Column:
+    """``c`` with ``change(column, type)`` at a path of struct fields and array elements; a null struct is made where ``create`` says so."""
     if not parts:
         return change(c, kind)
+    if isinstance(kind, T.ArrayType) and parts[0].isdigit():
+        at = int(parts[0])
+        return F.transform(c, lambda e, i: F.when(i == at, at_path(e, kind.elementType, parts[1:], change, create)).otherwise(e))
     if not isinstance(kind, T.StructType) or parts[0] not in kind.names:
         raise PatchError(f"no field {parts[0]!r}")
-    return F.struct(*((at_path(c.getField(f.name), f.dataType, parts[1:], change) if f.name == parts[0] else c.getField(f.name)).alias(f.name) for f in kind))
+    made = F.struct(*((at_path(c.getField(f.name), f.dataType, parts[1:], change, create) if f.name == parts[0] else c.getField(f.name)).alias(f.name) for f in kind))
+    return made if create else F.when(c.isNotNull(), made)
+
+
+def found_at(columns: dict[str, Column], schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
+    """The column and type at a pointer through struct fields and array elements."""
+    parts = pointer(path)
+    if not parts or parts[0] not in schema.names:
+        raise PatchError(f"no field {path!r}")
+    c, kind = columns[parts[0]], schema[parts[0]].dataType
+    for p in parts[1:]:
+        if isinstance(kind, T.StructType) and p in kind.names:
+            c, kind = c.getField(p), kind[p].dataType
+        elif isinstance(kind, T.ArrayType) and p.isdigit():
+            c, kind = F.get(c, F.lit(int(p))), kind.elementType
+        else:
+            raise PatchError(f"no field {path!r}")
+    return c, kind
 
 
 def operated(columns: dict[str, Column], schema: T.StructType, op: dict) -> None:
-    """One JSON patch operation on typed columns: those that keep the schema."""
+    """One JSON patch operation on typed columns, whose types stay.
+
+    A removed field is null. What moves, is copied or swapped between fields of different types is cast and null where
+    that fails; a test that fails on a row fails the query.
+    """
     kind, parts = op.get("op"), pointer(op.get("path", ""))
     if not parts or parts[0] not in schema.names:
         raise PatchError(f"no field {op.get('path')!r}")
+    if kind in ("move", "copy", "swap"):
+        value, t = found_at(columns, schema, op.get("from", ""))
+        other, u = found_at(columns, schema, op.get("path", ""))
+        if isinstance(t, (T.StructType, T.ArrayType, T.MapType)) and t != u:
+            raise PatchError(f"{op.get('from')!r} and {op.get('path')!r} have different types")
+        origin = op.get("from")
+        if kind == "move" and origin != op["path"]:
+            operated(columns, schema, {"op": "remove", "path": origin})
+        elif kind == "swap":
+            put_at(columns, schema, pointer(origin), other if t == u else other.try_cast(t))
+        put_at(columns, schema, parts, value if t == u else value.try_cast(u))
+        return
+    if kind == "test":
+        c, t = found_at(columns, schema, op["path"])
+        same = c.isNull() if op.get("value") is None else F.coalesce(c == literal(op["value"], t), F.lit(False))
+        columns[parts[0]] = F.when(same, columns[parts[0]]).otherwise(F.raise_error(F.lit(f"test failed at {op['path']}")).cast(schema[parts[0]].dataType))
+        return
 
     def change(c: Column, t: T.DataType) -> Column:
         if kind in ("add", "replace", "add_create"):
@@ -59,7 +101,12 @@ def operated(columns: dict[str, Column], schema: T.StructType, op: dict) -> None
         raise PatchError(f"operation {kind!r} would change the schema of a typed table")
 
     name = parts[0]
-    columns[name] = at_path(columns[name], schema[name].dataType, parts[1:], change)
+    columns[name] = at_path(columns[name], schema[name].dataType, parts[1:], change, create=kind == "add_create")
+
+
+def put_at(columns: dict[str, Column], schema: T.StructType, parts: list[str], value: Column) -> None:
+    name = parts[0]
+    columns[name] = at_path(columns[name], schema[name].dataType, parts[1:], lambda c, t: value)
 
 
 def patched(df: DataFrame, patch, hit: Column) -> DataFrame:
@@ -118,8 +165,8 @@ def changed(c: Collection, q: Query) -> DataFrame:
     return patched(c.rows, q.apply, hit)
 
 
-def inserted(c: Collection, value: dict) -> DataFrame:
-    """The collection and one more row."""
+def inserted_row(c: Collection, value: dict) -> DataFrame:
+    """The row that an upsert inserts, with the next key where it has none."""
     if not isinstance(value, dict):
         raise PatchError("only an object can be inserted")
     schema = c.rows.schema
@@ -130,4 +177,9 @@ def inserted(c: Collection, value: dict) -> DataFrame:
     if c.key and value.get(c.key) is None:
         row = c.rows.agg((F.coalesce(F.max(c.key), F.lit(0)) + 1).alias("_next"))
     columns = [F.col("_next").cast(f.dataType).alias(f.name) if f.name == c.key and value.get(f.name) is None else literal(value.get(f.name), f.dataType).alias(f.name) for f in schema]
-    return reduce(DataFrame.unionByName, [c.rows, row.select(*columns)])
+    return row.select(*columns)
+
+
+def inserted(c: Collection, value: dict) -> DataFrame:
+    """The collection and one more row."""
+    return reduce(DataFrame.unionByName, [c.rows, inserted_row(c, value)])

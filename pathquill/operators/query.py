@@ -84,46 +84,105 @@ def paged(df: DataFrame, c: Collection, q: Query) -> DataFrame:
     return df.limit(q.limit) if q.limit else df  # limit 0 is no limit
 
 
-def references(q: Query) -> list[tuple[str, str]]:
-    """(field, collection) of each join step on a top-level field."""
-    out = []
-    for p in q.projection:
-        for name in names_of(p.path[0]) if p.path else ():
+def references(q: Query, schema: T.StructType) -> list[tuple[tuple[str, ...], str]]:
+    """(path of fields, collection) of each join step, at any depth of structs; ``*`` stands for every field there is.
+
+    A path that the schema doesn't have, or that leads through an array or map, is left out.
+    """
+    out: dict[tuple[tuple[str, ...], str], None] = {}
+
+    def walk(steps: tuple, kind: T.DataType, at: tuple[str, ...]) -> None:
+        if not steps or not isinstance(kind, T.StructType):
+            return
+        for name in names_of(steps[0]):
             f, target = split_join(name)
-            if target and (f, target) not in out:
-                out.append((f, target))
-    return out
+            for field in kind:
+                if f in (field.name, "*"):
+                    if target:
+                        out[(*at, field.name), target] = None
+                    else:
+                        walk(steps[1:], field.dataType, (*at, field.name))
+
+    for p in q.projection:
+        walk(p.path or (), schema, ())
+    return list(out)
+
+
+def field_at(path: tuple[str, ...]):
+    c = F.col(f"`{path[0]}`")
+    for name in path[1:]:
+        c = c.getField(name)
+    return c
 
 
-def resolved(df: DataFrame, q: Query, catalog: Catalog) -> DataFrame:
+def replaced(c, kind: T.DataType, path: tuple[str, ...], value):
+    """``c`` with ``value`` at a path of struct fields."""
+    if not path:
+        return value
+    parts = [(replaced(c.getField(f.name), f.dataType, path[1:], value) if f.name == path[0] else c.getField(f.name)).alias(f.name) for f in kind]
+    return F.when(c.isNotNull(), F.struct(*parts))
+
+
+def resolved(df: DataFrame, q: Query, catalog: Catalog, unresolved: bool = False) -> DataFrame:
     """Reference fields replaced by the rows they name: null where there is none.
 
-    A missing collection or a field that isn't there leaves the column as it is. Which side is broadcast is
-    left to Spark, which knows the sizes.
+    With ``unresolved``, a column named after the path and ``__ref`` keeps the old value of references that find nothing, as the
+    field itself has changed its type. A missing collection or a field that isn't there leaves the column as it is, and
+    values that can't be keys find nothing. Which side is broadcast is left to Spark, which knows the sizes.
     """
-    for f, target in references(q):
+    schema = df.schema
+    for path, target in references(q, schema):
         try:
             other = catalog(target)
         except CollectionNotFoundError:
             continue
-        if f not in df.columns or not other.key:
+        kind = next((f.dataType for f in df.schema if f.name == path[0]), None)
+        at = kind
+        for name in path[1:]:
+            at = at[name].dataType if isinstance(at, T.StructType) and name in at.names else None
+        if not other.key or at is None or isinstance(at, (T.StructType, T.ArrayType, T.MapType)):
             continue
         right = other.rows
         right = right.select(F.col(other.key).alias("_ref_key"), F.struct(*(F.col(f"`{n}`") for n in right.columns)).alias("_ref"))
-        kind = right.schema["_ref_key"].dataType
-        left = F.col(f) if df.schema[f].dataType == kind else F.col(f).cast(kind)
-        columns = [F.col("_ref").alias(f) if n == f else F.col(f"`{n}`") for n in df.columns]
+        key = right.schema["_ref_key"].dataType
+        old = field_at(path)
+        left = old if at == key else old.try_cast(key)
+        new = replaced(F.col(f"`{path[0]}`"), kind, path[1:], F.col("_ref"))
+        columns = [new.alias(n) if n == path[0] else F.col(f"`{n}`") for n in df.columns]
+        if unresolved:
+            columns.append(F.when(F.col("_ref_key").isNull(), old).alias(f"{'/'.join(path)}__ref"))
         df = df.join(right, left == F.col("_ref_key"), "left").select(*columns)
     return df
 
 
-def select(c: Collection, q: Query, catalog: Catalog, skip: int | None = None, limit: int | None = None) -> DataFrame:
-    """The result of a bound query without its changes; ``skip`` and ``limit`` go before the query's own."""
+def counted(df: DataFrame, q: Query) -> DataFrame:
+    """The number of rows of the page: a page has no order to be imposed, and no rows to be moved."""
+    n = F.count(F.lit(1))
+    if q.skip:
+        n = F.greatest(n - F.lit(q.skip), F.lit(0).cast("long"))
+    return df.agg((F.least(n, F.lit(q.limit).cast("long")) if q.limit else n).alias("count"))
+
+
+def select(c: Collection, q: Query, catalog: Catalog, skip: int | None = None, limit: int | None = None, unresolved: bool = False) -> DataFrame:
+    """The result of a bound query; ``skip`` and ``limit`` go before the query's own.
+
+    A query that applies a patch gives the rows that it reaches, chosen and ordered as they are before, with the patch
+    applied, then projected; an upsert that reaches none gives the row that it would insert. Nothing is written.
+    """
+    from .mutate import inserted_row, patched
+
     if skip is not None or limit is not None:
         q = replace(q, skip=q.skip if skip is None else skip, limit=q.limit if limit is None else limit)
+    if q.count and not q.upsert:
+        return counted(matching(c, q), q)
     df = paged(matching(c, q), c, q)
+    if q.has_apply:
+        df = inserted_row(c, q.apply) if q.upsert and df.isEmpty() else patched(df, q.apply, F.lit(True))
     if q.count:
         return df.agg(F.count(F.lit(1)).alias("count"))
-    if not q.projection or Projector(q).identity and not references(q):
+    if not q.projection or Projector(q).identity and not references(q, df.schema):
         return df
-    return project(resolved(df, q, catalog), q)
+    extra = resolved(df, q, catalog, unresolved)
+    out = project(extra, q)
+    kept = [n for n in extra.columns if n not in df.columns]
+    return out if not kept else project(extra, q, kept)

@@ -58,8 +58,8 @@ def drop(c: Column, kind: T.DataType, paths: list[tuple]) -> Column:
     return c
 
 
-def project(df: DataFrame, q: Query) -> DataFrame:
-    """The columns that the projection of ``q`` keeps; its joins are resolved before."""
+def project(df: DataFrame, q: Query, always: list[str] | None = None) -> DataFrame:
+    """The columns that the projection of ``q`` keeps, and those that stay ``always``; its joins are resolved before."""
     shape = Projector(q)
     if shape.nothing:
         return df.select()
@@ -68,6 +68,9 @@ def project(df: DataFrame, q: Query) -> DataFrame:
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
+        if f.name in (always or ()):
+            out.append(c)
+            continue
         below = hits(include, f.name)
         if not shape.whole and not below:
             continue

@@ -114,7 +114,7 @@ def compare_typed(c: Column, kind: T.DataType, op: str, r) -> Truth:
     if isinstance(kind, T.BooleanType):
         return compare_bool(c, op, r)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) and isinstance(r, str):
-        return ordered(c, op, F.lit(r).cast(kind))
+        return ordered(c, op, F.lit(r).try_cast(kind))  # a text that is no time compares with none
     return False
 
 

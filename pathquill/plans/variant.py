@@ -21,6 +21,17 @@ def json_path(names) -> str:
     return "$" + "".join(f"['{n}']" for n in quoted)
 
 
+def found(value: Column, names, cast: str) -> Column:
+    """What a path finds; a name of digits is an object's key or an array's index, whichever there is."""
+    names = list(names)
+    ways = [[]]
+    for n in names:
+        steps = [json_path([n])[1:], f"[{int(n)}]"] if n.isdigit() and len(n) < 10 else [json_path([n])[1:]]
+        ways = [[*w, s] for w in ways for s in steps]
+    got = [F.try_variant_get(value, "$" + "".join(w), cast) for w in ways]
+    return got[0] if len(got) == 1 else F.coalesce(*got)
+
+
 def simple(chain: tuple[Joined, ...]) -> bool:
     """Only plain names that can't be array indexes, one predicate key a level, scalars on the right."""
 
@@ -85,13 +96,13 @@ def where(chain: tuple[Joined, ...], value: Column) -> Column | None:
 
 def order_key(value: Column, order) -> Column:
     """Values of mixed kinds in one order: missing, null, boolean, number, text, containers."""
-    path = json_path(n.text for n in order.path)
-    at = F.try_variant_get(value, path, "variant")
+    names = [n.text for n in order.path]
+    at = found(value, names, "variant")
     kind = F.schema_of_variant(at)
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     rank = F.when(at.isNull(), 0).when(kind == "VOID", 1).when(kind == "BOOLEAN", 2).when(number, 3).when(kind == "STRING", 4).otherwise(5)
     return F.struct(
         rank.alias("rank"),
-        F.when(kind == "BOOLEAN", F.try_variant_get(value, path, "boolean").cast("double")).when(number, F.try_variant_get(value, path, "double")).alias("number"),
-        F.when(kind == "STRING", F.try_variant_get(value, path, "string")).alias("text"),
+        F.when(kind == "BOOLEAN", found(value, names, "boolean").cast("double")).when(number, found(value, names, "double")).alias("number"),
+        F.when(kind == "STRING", found(value, names, "string")).alias("text"),
     )
