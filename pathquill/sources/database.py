@@ -1,12 +1,18 @@
-"""A database of schemaless collections: a folder with immutable Parquet snapshots and a catalog.
+"""A database of schemaless collections: a folder of immutable Parquet files and numbered catalogs.
 
-A change writes a new snapshot and then moves the catalog's pointer, so readers keep what they read and a
-failed change leaves nothing behind but an unused folder. Writers take turns by a lock file. Paths may be of
-any file system that Spark reaches.
+A collection is a snapshot and some deltas: rows of ``id, doc, seq`` that stand in the place of older ones, a null
+document for one that is gone. Single documents are written as deltas, which are merged into a new snapshot when they
+become many; queries that change documents write a snapshot. A change ends with a catalog of the next number, which is
+never overwritten: a reader takes the newest whole one, so a crash at any point leaves the state before. Files that no
+recent catalog names are deleted some changes later, so readers keep what they read.
+
+Writers take turns by a lock file that expires; should one lose it, the number of its catalog is taken and its change fails.
+Paths may be of any file system that Spark reaches.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import time
@@ -24,9 +30,16 @@ from ..errors import CollectionExistsError, CollectionNotFoundError, EngineError
 from ..functions.patch import apply_patch
 from ..operators.documents import changed_documents, dump, load, projected, query_documents
 from ..operators.explain import explain
-from ..plans.variant import json_path
+from ..plans.variant import found
 
 SCHEMA = "id long, doc string"
+DELTA = "id long, doc string, seq long"
+#: Deltas of a collection at most.
+DELTAS = 8
+#: Catalogs that stay, and so the changes during which a reader keeps its files.
+KEPT = 5
+#: Seconds after which a writer's lock is taken as left behind, and for which one waits for it.
+LEASE, WAIT = 600.0, 60.0
 INDEX_TYPES = ("string", "integer", "float")
 
 
@@ -60,14 +73,9 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, place: str, text: str) -> None:
-        """The new text under a fresh name, then renamed over the old: readers see one or the other."""
-        fresh = f"{place}.{uuid.uuid4().hex}"
-        self.write(fresh, text)
-        old, fs = self.at(place)
-        fs.delete(old, False)
-        if not fs.rename(self.at(fresh)[0], old):
-            raise EngineError(f"{place} can't be replaced")
+    def names(self, place: str) -> list[str]:
+        path, fs = self.at(place)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
 
     def delete(self, place: str) -> None:
         path, fs = self.at(place)
@@ -94,41 +102,77 @@ class Database:
         self.files = Files(spark)
         if mode == "truncate":
             self.files.delete(self.root)
-        if not self.files.exists(self._catalog):
+        if not self._versions():
             if self.read_only:
                 raise NotFoundError(f"no database at {root}")
             self.files.make(self.root)
-            self.files.write(self._catalog, json.dumps({"version": 1, "next": 1, "collections": {}}))
+            self.files.write(self._catalog(1), json.dumps({"version": 1, "next": 1, "collections": {}, "old": []}))
 
     # catalog
 
-    @property
-    def _catalog(self) -> str:
-        return f"{self.root}/catalog.json"
+    def _catalog(self, version: int) -> str:
+        return f"{self.root}/catalog-{version:012d}.json"
+
+    def _versions(self) -> list[int]:
+        """Numbers of the catalogs, the newest first."""
+        return sorted((int(m[1]) for m in (re.fullmatch(r"catalog-([0-9]+)\.json", n) for n in self.files.names(self.root)) if m), reverse=True)
 
     def catalog(self) -> dict:
-        return json.loads(self.files.read(self._catalog))
+        """The newest catalog that is whole: one that is just being written can't be read yet."""
+        for version in self._versions():
+            try:
+                return json.loads(self.files.read(self._catalog(version)))
+            except ValueError:
+                continue
+        raise NotFoundError(f"no catalog in {self.root}")
 
     @contextmanager
     def change(self) -> Iterator[dict]:
         """The catalog for one writer: saved at the end, unless the change failed."""
         if self.read_only:
             raise ReadOnlyError("the database is open for reading")
-        lock = f"{self.root}/writer.lock"
-        for _ in range(600):
+        lock, owner = f"{self.root}/writer.lock", uuid.uuid4().hex
+        end = time.time() + WAIT
+        while True:
             try:
-                self.files.write(lock, str(time.time()), overwrite=False)
+                self.files.write(lock, json.dumps({"owner": owner, "until": time.time() + LEASE}), overwrite=False)
                 break
             except Exception:
-                time.sleep(0.1)
-        else:
-            raise EngineError("another writer holds the lock")
+                held = self._holder(lock)
+                if held is None:  # not a lock that is taken, but a folder that can't be written
+                    raise
+                if held["until"] < time.time():
+                    self.files.delete(lock)
+                elif time.time() > end:
+                    raise EngineError("another writer holds the lock") from None
+                else:
+                    time.sleep(0.1)
         try:
             state = self.catalog()
             yield state
-            self.files.replace(self._catalog, json.dumps(state))
+            state["version"] += 1
+            gone = [x for x in state["old"] if x["version"] <= state["version"] - KEPT]
+            state["old"] = [x for x in state["old"] if x not in gone]
+            if self.files.exists(self._catalog(state["version"])):
+                raise EngineError("another writer has changed the database meanwhile")
+            self.files.write(self._catalog(state["version"]), json.dumps(state), overwrite=False)
+            for x in gone:
+                self.files.delete(x["place"])
+            for version in self._versions()[KEPT:]:
+                self.files.delete(self._catalog(version))
         finally:
-            self.files.delete(lock)
+            held = self._holder(lock)
+            if held and held["owner"] == owner:
+                self.files.delete(lock)
+
+    def _holder(self, lock: str) -> dict | None:
+        """Who holds the lock; one that can't be read was just made."""
+        if not self.files.exists(lock):
+            return None
+        try:
+            return json.loads(self.files.read(lock))
+        except Exception:
+            return {"owner": "", "until": time.time() + 1}
 
     def _entry(self, state: dict, name: str, create: bool = False) -> dict:
         if not re.fullmatch(r"[a-zA-Z0-9_-]{1,255}", name or ""):
@@ -136,16 +180,24 @@ class Database:
         if name not in state["collections"]:
             if not create:
                 raise CollectionNotFoundError(f"no collection {name!r}")
-            state["collections"][name] = {"dbid": state["next"], "snapshot": None, "rows": 0, "last_id": 0, "indexes": []}
+            state["collections"][name] = {"dbid": state["next"], "snapshot": None, "deltas": [], "seq": 0, "rows": 0, "last_id": 0, "indexes": []}
             state["next"] += 1
         return state["collections"][name]
 
     def rows(self, name: str, state: dict | None = None) -> DataFrame:
         """The collection's ``id, doc`` rows as they are now; empty if it isn't there."""
         entry = (state or self.catalog())["collections"].get(name)
-        if entry is None or entry["snapshot"] is None:
+        if entry is None or not (entry["snapshot"] or entry["deltas"]):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(entry["snapshot"])
+        base = self.spark.read.schema(SCHEMA).parquet(entry["snapshot"]) if entry["snapshot"] else self.spark.createDataFrame([], SCHEMA)
+        if not entry["deltas"]:
+            return base
+        last = self.spark.read.schema(DELTA).parquet(*entry["deltas"]).groupBy("id").agg(F.max(F.struct("seq", "doc")).alias("last"))
+        return base.join(last.select("id"), "id", "left_anti").union(last.where("last.doc is not null").select("id", "last.doc"))
+
+    def _forget(self, state: dict, *places: str | None) -> None:
+        """Files that the next catalog doesn't name; they go when no reader is left with an older one."""
+        state["old"] += [{"version": state["version"] + 1, "place": p} for p in places if p]
 
     def _commit(self, state: dict, name: str, after: DataFrame) -> None:
         """A new snapshot, checked against unique indexes before the catalog knows of it."""
@@ -161,18 +213,46 @@ class Database:
             self.files.delete(place)
             raise
         counted = written.agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
-        entry |= {"snapshot": place, "rows": counted.n, "last_id": max(entry["last_id"], counted.last or 0)}
-        state["version"] += 1
+        self._forget(state, entry["snapshot"], *entry["deltas"])
+        entry |= {"snapshot": place, "deltas": [], "rows": counted.n, "last_id": max(entry["last_id"], counted.last or 0)}
+
+    def _write(self, state: dict, name: str, docs: dict[int, str | None]) -> None:
+        """Documents by id (None: gone) as a delta of the collection."""
+        entry = state["collections"][name]
+        ids = list(docs)
+        there = self.rows(name, state).where(F.col("id").isin(ids)).count() if ids else 0
+        new = self.spark.createDataFrame(list(docs.items()), SCHEMA)
+        place = f"{self.root}/{entry['dbid']}-{uuid.uuid4().hex}"
+        entry["seq"] += 1
+        new.select("id", "doc", F.lit(entry["seq"]).cast("long").alias("seq")).write.parquet(place)
+        entry["deltas"] = [*entry["deltas"], place]
+        try:
+            for index in entry["indexes"]:
+                if index["unique"]:
+                    self._check_unique(self.rows(name, state), index, new.where("doc is not null"))
+        except UniqueViolationError:
+            self.files.delete(place)
+            raise
+        entry["rows"] += sum(d is not None for d in docs.values()) - there
+        entry["last_id"] = max([entry["last_id"], *ids])
+        if len(entry["deltas"]) > DELTAS:
+            self._commit(state, name, self.rows(name, state))
 
     @staticmethod
-    def _check_unique(rows: DataFrame, index: dict) -> None:
-        """Values as the index would store them; null, objects and arrays are not indexed."""
+    def _keys(rows: DataFrame, index: dict) -> DataFrame:
+        """``k``: values as the index would store them; null, objects and arrays are not indexed."""
         value = F.try_parse_json("doc")
-        path = json_path(p for p in index["path"].strip("/").split("/"))
-        kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+        names = index["path"].strip("/").split("/")
+        kind = F.schema_of_variant(found(value, names, "variant"))
         cast = {"string": "string", "integer": "long", "float": "double"}[index["type"]]
         scalar = ~(kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "VOID"))
-        keys = rows.select(F.try_variant_get(value, path, cast).alias("k"), kind.alias("kind"), scalar.alias("scalar")).where("scalar and k is not null")
+        return rows.select(found(value, names, cast).alias("k"), scalar.alias("scalar")).where("scalar and k is not null").select("k")
+
+    def _check_unique(self, rows: DataFrame, index: dict, new: DataFrame | None = None) -> None:
+        """Raises if a value occurs twice; with ``new`` documents only theirs are looked at."""
+        keys = self._keys(rows, index)
+        if new is not None:
+            keys = keys.join(self._keys(new, index).distinct(), "k", "left_semi")
         if not keys.groupBy("k").count().where("count > 1").isEmpty():
             raise UniqueViolationError(f"{index['path']} is not unique")
 
@@ -193,18 +273,20 @@ class Database:
                     raise InvalidNameError(f"not a document id: {i!r}")
                 last = max(last, i)
                 pairs.append((i, dump(value)))
-            new = self.spark.createDataFrame(list(dict(pairs).items()), SCHEMA)
-            self._commit(state, name, self.rows(name, state).join(F.broadcast(new.select("id")), "id", "left_anti").union(new))
+            self._write(state, name, dict(pairs))
         return [i for i, _ in pairs]
 
     def load(self, name: str, docs: DataFrame) -> None:
         """Puts all rows of a DataFrame of ``id, doc``, a later one in the place of one that is there."""
         with self.change() as state:
             self._entry(state, name, create=True)
-            self._commit(state, name, self.rows(name, state).join(docs.select("id"), "id", "left_anti").union(docs.select("id", "doc")))
+            new = docs.select("id", F.coalesce("doc", F.lit("null")).alias("doc"))
+            self._commit(state, name, self.rows(name, state).join(new.select("id"), "id", "left_anti").union(new))
 
     def get(self, name: str, id: int) -> Any:
-        state = self.catalog()
+        return self._get(self.catalog(), name, id)
+
+    def _get(self, state: dict, name: str, id: int) -> Any:
         self._entry(state, name)
         row = self.rows(name, state).where(F.col("id") == id).first()
         if row is None:
@@ -219,22 +301,28 @@ class Database:
 
     def patch(self, name: str, id: int, patch: Any) -> Any:
         """Patches one document and returns it."""
-        value = apply_patch(self.get(name, id), patch)
-        self.put(name, value, id)
+        with self.change() as state:
+            value = apply_patch(self._get(state, name, id), patch)
+            self._write(state, name, {id: dump(value)})
         return value
 
     def merge_or_put(self, name: str, id: int, patch: dict) -> Any:
-        old = self.get_or_none(name, id)
-        if old is None and not isinstance(patch, dict):
-            raise PatchError("only an object can be inserted")
-        value = patch if old is None else apply_patch(old, patch)
-        self.put(name, value, id)
+        """Patches a document, or puts the patch as one where there is none."""
+        with self.change() as state:
+            self._entry(state, name, create=True)
+            try:
+                value = apply_patch(self._get(state, name, id), patch)
+            except NotFoundError:
+                if not isinstance(patch, dict):
+                    raise PatchError("only an object can be inserted") from None
+                value = patch
+            self._write(state, name, {id: dump(value)})
         return value
 
     def delete(self, name: str, id: int) -> None:
-        self.get(name, id)
         with self.change() as state:
-            self._commit(state, name, self.rows(name, state).where(F.col("id") != id))
+            self._get(state, name, id)
+            self._write(state, name, {id: None})
 
     # collections and indexes
 
@@ -245,7 +333,9 @@ class Database:
     def remove_collection(self, name: str) -> None:
         """Forgets a collection; one that isn't there is no error."""
         with self.change() as state:
-            state["collections"].pop(name, None)
+            entry = state["collections"].pop(name, None)
+            if entry:
+                self._forget(state, entry["snapshot"], *entry["deltas"])
 
     def rename_collection(self, name: str, to: str) -> None:
         with self.change() as state:
@@ -280,26 +370,27 @@ class Database:
                 entry["indexes"] = [i for i in entry["indexes"] if (i["path"], i["type"]) != (path, type)]
 
     def info(self) -> dict:
+        """Collections and indexes with their numbers of documents; of an index, those that it would hold."""
         state = self.catalog()
         return {
             "version": state["version"],
             "root": self.root,
             "collections": [
-                {"name": n, "dbid": c["dbid"], "rnum": c["rows"], "indexes": [i | {"rnum": c["rows"]} for i in c["indexes"]]}
+                {"name": n, "dbid": c["dbid"], "rnum": c["rows"], "indexes": [i | {"rnum": self._keys(self.rows(n, state), i).count()} for i in c["indexes"]]}
                 for n, c in sorted(state["collections"].items())
             ],
         }
 
     def backup(self, to: str) -> int:
-        """Copies the snapshots of one catalog version; returns the time in milliseconds."""
+        """Copies the files of one catalog version; returns the time in milliseconds."""
         state = self.catalog()
         self.files.make(to)
         for entry in state["collections"].values():
-            if entry["snapshot"]:
-                place = f"{to.rstrip('/')}/{entry['snapshot'].rpartition('/')[2]}"
-                self.files.copy(entry["snapshot"], place)
-                entry["snapshot"] = place
-        self.files.write(f"{to.rstrip('/')}/catalog.json", json.dumps(state))
+            moved = {p: f"{to.rstrip('/')}/{p.rpartition('/')[2]}" for p in [entry["snapshot"], *entry["deltas"]] if p}
+            for place, copy in moved.items():
+                self.files.copy(place, copy)
+            entry |= {"snapshot": moved.get(entry["snapshot"]), "deltas": [moved[p] for p in entry["deltas"]]}
+        self.files.write(f"{to.rstrip('/')}/catalog-{state['version']:012d}.json", json.dumps(state | {"old": []}))
         return int(time.time() * 1000)
 
     # queries
@@ -331,6 +422,7 @@ class Database:
                 # what was reached is fixed by its ids in the snapshots, which don't change any more
                 place = f"{self.root}/reached-{uuid.uuid4().hex}"
                 hit.select("id").write.parquet(place)
+                self._forget(state, place)
                 self._commit(state, name, after)
                 ids = self.spark.read.schema("id long").parquet(place)
                 reached = (before if tree.delete else self.rows(name, state)).join(ids, "id")
@@ -350,6 +442,16 @@ class Database:
         for r in self.query(q, collection).toLocalIterator():
             yield r.id, load(r.doc)
 
+    def raw(self, q: PathQuery | str, collection: str | None = None) -> Iterator[tuple[int | None, str]]:
+        """(id, document as text) pairs as they are stored or projected, a partition at a time; a count has no id."""
+        df = self.query(q, collection)
+        for r in df.toLocalIterator():
+            yield (None, str(r["count"])) if df.columns == ["count"] else (r.id, r.doc)
+
+    def explained(self, q: PathQuery | str, collection: str | None = None) -> tuple[str, DataFrame]:
+        """What the engine says of a query's plan, and its result."""
+        return self.explain(q, collection), self.query(q, collection)
+
     def first(self, q: PathQuery | str, collection: str | None = None) -> tuple[int, Any] | None:
         return next(iter(self.list(q, collection, limit=1)), None)
 
@@ -364,12 +466,15 @@ class Database:
     update = count
 
     def visit(self, q: PathQuery | str, visitor: Callable[[int, Any], int | None], collection: str | None = None) -> int:
-        """Calls ``visitor(id, document)`` over a gathered result; it returns the step to the next.
+        """Calls ``visitor(id, document)`` over a result, which is fetched as far as it is visited; it returns the step to the next.
 
         None or 1 goes on, 0 stops, n moves n on, -n back, with -1 the same document again. Returns the visits.
         """
-        found, at, visits = self.list(q, collection), 0, 0
-        while 0 <= at < len(found):
+        rows, found, at, visits = self.stream(q, collection), [], 0, 0
+        while at >= 0:
+            found += itertools.islice(rows, at + 1 - len(found)) if at >= len(found) else ()
+            if at >= len(found):
+                break
             step = visitor(*found[at])
             visits += 1
             if step == 0:
