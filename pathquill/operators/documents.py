@@ -19,6 +19,7 @@ from ..functions.evaluator import Projector, as_key, matches, split_join
 from ..functions.patch import apply_patch
 from ..lang.ast import Fields, KeyLookup, Query
 from ..plans import variant
+from ..sources.shared import settle
 
 
 def dump(value) -> str:
@@ -110,23 +111,69 @@ def projected(found: DataFrame, q: Query, resolve=None) -> DataFrame:
     if not q.projection:
         return found
     joins = join_steps(q) if resolve else []
-    fetched = []
+    fetched, many = [], []
     for k, (path, target) in enumerate(joins):
         other = resolve(target)
-        if other is None or any(s == "*" for s in path):
+        if other is None:
+            continue
+        if "*" in path:
+            many.append((path, target, other))
             continue
         key = F.try_variant_get(F.try_parse_json("doc"), variant.json_path(path), "long")
         right = other.select(F.col("id").alias(f"_id{k}"), F.col("doc").alias(f"_doc{k}"))
         found = found.withColumn(f"_key{k}", key).join(right, F.col(f"_key{k}") == F.col(f"_id{k}"), "left").drop(f"_id{k}")
         fetched.append((target, f"_key{k}", f"_doc{k}"))
 
+    behind = bool(many)
+    if behind:
+        found = with_references(found, many)
+
     def change(i, value, *rest):
         known = {(t, rest[2 * n]): load(rest[2 * n + 1]) for n, (t, _, _) in enumerate(fetched)}
+        if behind:
+            known |= {(r["target"], r["key"]): load(r["found"]) for r in rest[-1] or ()}
         return (Projector(q, lambda c, k: known.get((c, k)))(value),)
 
-    if Projector(q).identity and not fetched:
+    if Projector(q).identity and not fetched and not behind:
         return found
-    return mapped(found, change, *(c for _, k, d in fetched for c in (k, d)))
+    return mapped(found, change, *(c for _, k, d in fetched for c in (k, d)), *["_refs"] * behind)
+
+
+def values_at(value, path: tuple):
+    """What a path of names and wildcards finds in a JSON value."""
+    if not path:
+        yield value
+    elif isinstance(value, (dict, list)):
+        inner = value.items() if isinstance(value, dict) else ((str(i), v) for i, v in enumerate(value))
+        for k, v in inner:
+            if path[0] in ("*", k):
+                yield from values_at(v, path[1:])
+
+
+def with_references(found: DataFrame, many: list[tuple]) -> DataFrame:
+    """``found`` and ``_refs``: the documents that references behind wildcards name, as many a row as it has references.
+
+    The keys of each document are listed, joined with their collections, and brought together by the row's number.
+    """
+    paths = [(path, target) for path, target, _ in many]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                value = load(text)
+                pairs = {(t, k) for p, t in paths for k in map(as_key, values_at(value, p)) if k is not None}
+                out.append([{"target": t, "key": k} for t, k in sorted(pairs)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("target", pa.string()), ("key", pa.int64())])))], names=["_row", "_wanted"])
+
+    numbered = settle(found.withColumn("_row", F.monotonically_increasing_id()))
+    wanted = numbered.select("_row", "doc").mapInArrow(keys, "_row long, _wanted array<struct<target:string,key:long>>").select("_row", F.explode("_wanted").alias("w")).select("_row", "w.*")
+    got = None
+    for target, other in {t: o for _, t, o in many}.items():
+        right = other.select(F.col("id").alias("key"), F.col("doc").alias("found"))
+        part = wanted.where(F.col("target") == target).join(right, "key").select("_row", F.struct("target", "key", "found").alias("ref"))
+        got = part if got is None else got.union(part)
+    return numbered.join(got.groupBy("_row").agg(F.collect_list("ref").alias("_refs")), "_row", "left")
 
 
 def changed_documents(docs: DataFrame, q: Query) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ with a known command is a query.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -87,9 +88,19 @@ class Session:
 
 @dataclass
 class Response:
+    """Status, headers and text; a query's text comes in ``chunks``, one for each document as it is fetched."""
+
     status: int
-    body: str = ""
+    text: str = ""
     headers: dict[str, str] = field(default_factory=dict)
+    chunks: Iterator[str] | None = None
+
+    @property
+    def body(self) -> str:
+        """The whole text, gathered."""
+        if self.chunks is not None:
+            self.text, self.chunks = self.text + "".join(self.chunks), None
+        return self.text
 
 
 class Requests:
@@ -142,5 +153,5 @@ class Requests:
         if anonymous and (q.has_apply or q.has_delete):
             return Response(403)
         shown = f"{self.db.explain(q)}\n--------------------" if headers.get("X-Hints") == "explain" else ""
-        out = [doc if id is None else f"\r\n{id}\t{doc}" for id, doc in answers(self.db.query(q))]
-        return Response(200, shown + "".join(out))
+        chunks = (doc if id is None else f"\r\n{id}\t{doc}" for id, doc in answers(self.db.query(q)))
+        return Response(200, shown, chunks=chunks)
