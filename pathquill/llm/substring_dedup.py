@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
-from .windows import Symbols, covered, repeated_ranges, unsqueezed, with_marks
+from .windows import BUCKET_SYMBOLS, Symbols, covered, repeated_ranges, unsqueezed, with_marks
 
 LENGTH = 35
 GRAM = 8
@@ -95,13 +95,13 @@ def sort_windows(packed: list[bytes], length: int) -> list[np.ndarray]:
     return [twice[bounds[k] : bounds[k + 1]] - first[k] for k in range(len(packed))]
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot_runs: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_symbols: int = BUCKET_SYMBOLS) -> DataFrame:
     """``doc_id, n_words, spans, kept`` for every row: removed [start, end) word runs and the text of the other words.
 
     A word goes if a window of ``length`` words around it starts anywhere else too. Null and empty texts
     have no words; equal rows repeat each other; kept words are joined by one space.
     """
-    found = repeated_ranges(docs, symbols(length), sort_windows, doc_id, text, hot_runs)
+    found = repeated_ranges(docs, symbols(length), sort_windows, doc_id, text, bucket_symbols)
 
     def make():
         def run(texts: list[str | None], marks: list):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
-from .windows import Symbols, covered, repeated_ranges, unsqueezed, with_marks
+from .windows import BUCKET_SYMBOLS, Symbols, covered, repeated_ranges, unsqueezed, with_marks
 
 LENGTH = 200
 GRAM = 32
@@ -67,46 +67,51 @@ def suffix_order(s: np.ndarray, span: int, width: int = 1) -> tuple[np.ndarray,
         rank[order] = np.arange(1, n + 1)
         return order, rank
     bits = max(int(s.max()).bit_length(), 1)
-    x = np.zeros(n + 3, np.int64)
+    # positions 3j, 3j + 1 and 3j + 2; when n % 3 == 1 an empty suffix ends the second kind, so that the first two are as many
+    n0, n2 = (n + 2) // 3, n // 3
+    x = np.zeros(3 * n0 + 5, np.int64)
     x[:n] = s
-    # sample: positions 1 modulo 3, then 2 modulo 3; when n % 3 == 1 an empty suffix ends the first kind
-    one = np.arange(1, n + (n % 3 == 1), 3)
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    triple = (x[sample] << 2 * bits | x[sample + 1] << bits | x[sample + 2]) if 3 * bits <= 62 else paired(x, sample)
+    x0, x1, x2 = x[0 : 3 * n0 : 3], x[1 : 3 * n0 + 1 : 3], x[2 : 3 * n0 + 2 : 3]
+    # sample: 1 modulo 3, then 2 modulo 3
+    ahead0, ahead1 = x[3 : 3 * n0 + 3 : 3], x[4 : 3 * n0 + 4 : 3]
+    if 3 * bits <= 62:
+        triple = np.concatenate([x1 << 2 * bits | x2 << bits | ahead0, (x2 << 2 * bits | ahead0 << bits | ahead1)[:n2]])
+    else:
+        triple = paired(np.concatenate([x1, x2[:n2]]), np.concatenate([x2, ahead0[:n2]]), np.concatenate([ahead0, ahead1[:n2]]))
     by, ordered = sorted_by(triple)
     new = np.append(True, ordered[1:] != ordered[:-1])
-    name = np.empty(len(sample), np.int64)
+    name = np.empty(len(triple), np.int64)
     name[by] = np.cumsum(new)
     if not new.all() and 3 * width < span:
         # names of one kind follow each other in the text, then those of the other
-        _, name = suffix_order(name, span, 3 * width)
-    rank12 = np.zeros(n + 3, np.int64)
-    rank12[sample] = name
-    first = sample[sorted_by(name)[0]]
-    first = first[first < n]
-    # the others: own symbol, then the rank of the suffix behind it
-    zero = np.arange(0, n, 3)
-    shift = len(sample).bit_length() + 1
-    key0 = x[zero] << shift | rank12[zero + 1]
-    o0, key0 = sorted_by(key0)
-    zero = zero[o0]
-    kind1, kind2 = first[first % 3 == 1], first[first % 3 == 2]
-    before = np.searchsorted(x[kind1] << shift | rank12[kind1 + 1], key0)
-    # two symbols and a rank may exceed a machine word: the second symbol and rank become one rank
-    tail = np.concatenate([x[zero + 1] << shift | rank12[zero + 2], x[kind2 + 1] << shift | rank12[kind2 + 2]])
-    by, ordered = sorted_by(tail)
-    packed = np.empty(len(tail), np.int64)
-    packed[by] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) if len(tail) else 0
-    deep = len(tail).bit_length() + 1
-    key2 = x[kind2] << deep | packed[len(zero) :]
-    before += np.searchsorted(np.maximum.accumulate(key2), x[zero] << deep | packed[: len(zero)])
-    place = np.arange(len(zero)) + np.maximum.accumulate(before)
+        by, name = suffix_order(name, span, 3 * width)
+    name1, name2 = name[:n0], np.zeros(n0, np.int64)
+    name2[:n2] = name[n0:]
+    by1, by2 = by[by < n0], by[by >= n0] - n0
+    if n % 3 == 1:
+        by1 = by1[by1 != n0 - 1]
+    # the suffixes at 3j: own symbol, then the rank of the one behind; those at 3j + 1 alike
+    shift = len(name).bit_length() + 1
+    o0, key0 = sorted_by(x0 << shift | name1)
+    key1 = np.maximum.accumulate((x1 << shift | name2)[by1])
+    before = np.searchsorted(key1, key0)
+    # both in one order, in which those at 3j and 3j + 2 are told apart by what is behind their own symbol
+    both0, both1 = np.empty(n0 + 1, np.int64), np.zeros(n0, np.int64)
+    both0[-1] = 0
+    both0[o0] = np.arange(1, n0 + 1) + before
+    free = np.ones(n0 + len(by1) + 1, bool)
+    free[both0] = False
+    both1[by1] = np.flatnonzero(free)
+    deep = len(free).bit_length()
+    key2 = np.maximum.accumulate((x2[:n2] << deep | both0[1 : n2 + 1])[by2])
+    before += np.searchsorted(key2, (x0 << deep | both1)[o0])
+    place = np.arange(n0) + np.maximum.accumulate(before)
     order = np.empty(n, np.int64)
     free = np.ones(n, bool)
     free[place] = False
-    order[place] = zero
-    order[free] = first
+    order[place] = 3 * o0
+    first = np.where(by < n0, 3 * by + 1, 3 * (by - n0) + 2)
+    order[free] = first[first < n]
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(1, n + 1)
     return order, rank
@@ -123,10 +128,10 @@ def sorted_by(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, keys[order]
 
 
-def paired(x: np.ndarray, sample: np.ndarray) -> np.ndarray:
+def paired(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Triples of large symbols as integers in the same order: pairs are ranked first."""
-    pair = np.unique(x[sample] << 31 | x[sample + 1], return_inverse=True)[1].astype(np.int64)
-    return pair << 31 | x[sample + 2]
+    pair = np.unique(a << 31 | b, return_inverse=True)[1].astype(np.int64)
+    return pair << 31 | c
 
 
 def sorted_windows(packed: list[bytes], length: int) -> list[np.ndarray]:
@@ -154,20 +159,20 @@ def sorted_windows(packed: list[bytes], length: int) -> list[np.ndarray]:
     return [twice[bounds[k] : bounds[k + 1]] - first[k] for k in range(len(packed))]
 
 
-def found_repeats(docs: DataFrame, doc_id: str, text: str, length: int, hot_runs: int) -> DataFrame:
+def found_repeats(docs: DataFrame, doc_id: str, text: str, length: int, bucket_symbols: int) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes")
-    return repeated_ranges(docs, symbols(length), sorted_windows, doc_id, text, hot_runs)
+    return repeated_ranges(docs, symbols(length), sorted_windows, doc_id, text, bucket_symbols)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot_runs: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_symbols: int = BUCKET_SYMBOLS) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` for every row: removed [start, end) byte runs and the bytes left (binary).
 
     A byte goes if a string of ``length`` bytes around it starts anywhere else too, in this document or
     another. Null and empty texts have no bytes; equal rows repeat each other. What is left may
     break a character in two; :func:`cleaned` keeps characters whole.
     """
-    found = found_repeats(docs, doc_id, text, length, hot_runs)
+    found = found_repeats(docs, doc_id, text, length, bucket_symbols)
 
     def make():
         def run(texts: list[str], marks: list):
@@ -202,9 +207,9 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot_runs: int = 20_000) -> DataFrame:
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_symbols: int = BUCKET_SYMBOLS) -> DataFrame:
     """``docs`` with repeated bytes taken out of the text, characters kept whole; other columns as they are."""
-    found = found_repeats(docs, doc_id, text, length, hot_runs)
+    found = found_repeats(docs, doc_id, text, length, bucket_symbols)
 
     names, at = docs.columns, docs.columns.index(text)
     # the other columns travel in one struct, so that no name can clash

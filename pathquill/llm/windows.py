@@ -8,8 +8,9 @@ consecutive windows mostly share one: such a run travels as one packed string.
    within one run, can head a repeated window; the others are dropped before any text moves.
 2. Documents with such minimisers are cut into packed runs of at most ``LONGEST`` windows.
 3. Runs, collapsed within each task, meet in their minimiser's bucket, where a solver marks the
-   windows that start more than once. A minimiser of more than ``hot_runs`` runs is dealt out by the
-   content of its single windows instead, so one shared by a third of all documents never meets in one task.
+   windows that start more than once. A minimiser whose runs have more than ``bucket_symbols`` symbols together is dealt out by the
+   content of its single windows instead, so one shared by a third of all documents never meets in one task
+   and a bucket's memory is bounded.
 4. Marks go back along the runs' ids and become removed symbol ranges of each document.
 
 Counts, ids and ranges move; text moves twice, compressed: once to be cut into runs, once to meet its ranges.
@@ -159,11 +160,15 @@ def packed_rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, _TYPES, strict=True)], names=names)
 
 
-def repeated_ranges(docs: DataFrame, s: Symbols, solve: Callable[[list[bytes], int], list[np.ndarray]], doc_id: str, text: str, hot_runs: int = 20_000) -> DataFrame:
+#: Symbols of a bucket at most; in the solvers each takes some hundred bytes.
+BUCKET_SYMBOLS = 1_000_000
+
+
+def repeated_ranges(docs: DataFrame, s: Symbols, solve: Callable[[list[bytes], int], list[np.ndarray]], doc_id: str, text: str, bucket_symbols: int = BUCKET_SYMBOLS) -> DataFrame:
     """``k1, k2, marks``: the repeated windows of each document that has any, as start, end, start, end, ...
 
     ``solve(packed, length)`` gets distinct runs and returns, for each, the windows (offsets) whose content
-    starts at least twice among all of them. Minimisers of more than ``hot_runs`` runs are dealt out by content.
+    starts at least twice among all of them. Minimisers of more than ``bucket_symbols`` symbols are dealt out by content.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
@@ -172,11 +177,17 @@ def repeated_ranges(docs: DataFrame, s: Symbols, solve: Callable[[list[bytes], i
         for batch in batches:
             k1 = batch.column(0).to_numpy()
             for at, texts in batched([t or "" for t in batch.column(1).to_pylist()]):
-                doc, _, _, anchor, own, _ = runs_of(s, texts)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(k1[at + doc]), pa.array(own.astype(np.int32) + 1)], names=["anchor", "k1", "n"])
+                doc, _, windows, anchor, own, _ = runs_of(s, texts)
+                # one number tells the windows of a run and whether it repeats its minimiser: negative if so
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(k1[at + doc]), pa.array(np.where(own, -windows, windows).astype(np.int32))], names=["anchor", "k1", "windows"])
 
-    heads = rows.select(keyed(rows, "_id", "text")[0], "text").mapInArrow(minimisers, "anchor long, k1 long, n int")
-    live = heads.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot_runs).alias("hot"))
+    place = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    heads_at = f"{place}-heads"
+    rows.select(keyed(rows, "_id", "text")[0], "text").mapInArrow(minimisers, "anchor long, k1 long, windows int").write.option("compression", "zstd").parquet(heads_at)
+    heads = spark.read.schema("anchor long, k1 long, windows int").parquet(heads_at)
+    size = F.sum(F.abs("windows").cast("long") + (s.length - 1))
+    live = heads.groupBy("anchor").agg(F.count("*").alias("n"), F.min("windows").alias("least"), size.alias("size"))
+    live = live.where("n > 1 or least < 0").select("anchor", (F.col("size") > bucket_symbols).alias("hot"))
     # the list of a document is bounded by its own length; what shares a first hash by chance is cut in vain
     wanted = heads.select("anchor", F.col("k1").alias("_k1")).join(live, "anchor").groupBy("_k1").agg(F.collect_list("anchor").alias("live"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("heat"))
 
@@ -218,9 +229,9 @@ def repeated_ranges(docs: DataFrame, s: Symbols, solve: Callable[[list[bytes], i
                     yield from rest()
         yield from rest()
 
-    place = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
     texts = squeezed(rows, "_id", "text").select("_k1", "_k2", "_z")
     texts.join(wanted, "_k1").select("_k1", "_k2", "_z", "live", "heat").mapInArrow(pack, PACKED).write.option("compression", "zstd").parquet(place)
+    drop_table(spark, heads_at)
     packed = spark.read.schema(PACKED).parquet(place)
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
