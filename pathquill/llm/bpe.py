@@ -55,6 +55,50 @@ LATER = {
 }
 
 
+# Capitals of Unicode 16 and 17 and the first of their small letters, which this Python may not pair.
+LATER_LOWER = "1C89>1C8A A7CB>264 A7CC>A7CD A7CE>A7CF A7D2>A7D3 A7D4>A7D5 A7DA>A7DB A7DC>19B 10D50-10D65>10D70 16EA0-16EB8>16EBB"
+
+# Marks that the libraries' normalisation, whose character data is older, takes as letters that nothing moves past.
+NEWER_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 "
+    "1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F "
+    "1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+
+
+def code_points(run: str) -> range:
+    low, _, high = run.partition("-")
+    return range(int(low, 16), int(high or low, 16) + 1)
+
+
+@functools.cache
+def later_lower() -> dict[int, int]:
+    return {c: int(to, 16) + k for pair in LATER_LOWER.split() for run, _, to in [pair.partition(">")] for k, c in enumerate(code_points(run))}
+
+
+@functools.cache
+def newer_marks() -> re.Pattern:
+    return re.compile("([" + "".join(chr(c) for run in NEWER_MARKS.split() for c in code_points(run)) + "])")
+
+
+def composed(text: str) -> str:
+    """NFC as the libraries know it."""
+    if text.isascii():
+        return text
+    if newer_marks().search(text):
+        return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(newer_marks().split(text)))
+    return unicodedata.normalize("NFC", text)
+
+
+def lowered(text: str) -> str:
+    """Small letters one by one, so that a final sigma is no special case, with the pairs of Unicode 16 and 17."""
+    if text.isascii():
+        return text.lower()
+    if not later_lower().keys().isdisjoint(map(ord, set(text))):
+        text = text.translate(later_lower())
+    return text.replace("Σ", "σ").lower()
+
+
 @functools.cache
 def unicode_class(letter: str) -> str:
     """Ranges of a regular expression's character class for a general category letter."""

@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import re
 import struct
-import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -63,8 +62,7 @@ class Codec:
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def encode_plain(self, text: str) -> list[tuple[bytes, str]]:
-        # letters are lowered one by one, so a final sigma is no special case
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = bpe.lowered(bpe.composed(text))
         pieces = self.spaces(text) if self.control(text) else text.split()
         return list(map(self.by_piece.__getitem__, pieces))
 
@@ -198,6 +196,7 @@ def codec_digests(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all ``documents``; nulls, empty and long texts, repeated rows and an empty table as in :func:`encode_texts`."""
     import public_tokenizers
 
     return codec_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
