@@ -9,7 +9,7 @@ maximal scoring segment. With lambda, the root of E[exp(lambda s)] = 1 over corp
 segment of n tokens follows an extreme-value law with location ln(K n); K comes from the clean
 training documents. Segments with expectation below ``significance`` are the toxic passages. Two
 aggregates, the calibrated best segment and the sum of significant ones, go through a logistic
-curve fitted on the training documents.
+curve fitted on the training documents, each read with weights that others gave.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Cache
-from .common import crc_mod, map_texts, table
+from .common import crc_mod, map_texts, settle, table
 
 #: Token slots: the model's size, whatever the corpus' vocabulary.
 SLOTS = 1 << 18
@@ -34,6 +34,8 @@ MAX_LABELS = 200_000
 #: Documents' worth of prior for each class.
 PRIOR = 200.0
 DRIFT = 0.15
+#: Parts of the labels; each is read with the weights of the others when the curve is fitted.
+FOLDS = 8
 SIGNIFICANCE = 1.0
 MARKS = ".,;:!?\"'()[]{}<>|*#$%&_-"
 
@@ -107,18 +109,24 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.slots = model, slots_of()
 
-    def read(self, text: str) -> tuple[float, float, list[tuple[int, int, float]], int]:
-        """(calibrated best segment, calibrated sum of significant ones, those segments, words)."""
+    def levels(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+        """(start, end, lambda x - ln n) of every segment of n words, and n."""
         pieces = text.split()
         n = len(pieces)
+        if not n:
+            return [], 0
+        found = segments(self.model.weights[np.fromiter(map(self.slots.__getitem__, pieces), np.int64, n)])
+        return [(s, e, self.model.lam * x - math.log(n)) for s, e, x in found], n
+
+    def read(self, text: str) -> tuple[float, float, list[tuple[int, int, float]], int]:
+        """(calibrated best segment, calibrated sum of significant ones, those segments, words)."""
+        found, n = self.levels(text)
         if not n:
             return 0.0, 0.0, [], 0
-        m = self.model
-        found = segments(m.weights[np.fromiter(map(self.slots.__getitem__, pieces), np.int64, n)])
-        level = m.log_k + math.log(n)
-        rated = [(s, e, m.lam * x - level) for s, e, x in found]
+        log_k = self.model.log_k
+        rated = [(s, e, x - log_k) for s, e, x in found]
         significant = [r for r in rated if r[2] > -math.log(SIGNIFICANCE)]
-        return max((r[2] for r in rated), default=-level), sum(r[2] for r in significant), significant, n
+        return max((r[2] for r in rated), default=-math.log(n) - log_k), sum(r[2] + math.log(SIGNIFICANCE) for r in significant), significant, n
 
     def features(self, text: str) -> tuple[float, float]:
         best, total, _, n = self.read(text)
@@ -147,41 +155,60 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on the rows of ``labels`` (id and 0/1 label), of which at most ``MAX_LABELS``, in hash order, are used.
+    """Fit on the rows of ``labels`` (id and 0/1 label), of which at most ``MAX_LABELS``, by hash, are used.
 
-    The prior counts every document. Null labels are left out; an id with several labels takes the
-    largest. Without labels of both kinds every weight is 0 and every score is the base rate.
+    The prior counts every document, lambda every token. Null labels are left out; an id with several labels takes the
+    largest, and repeated rows count each. Null and empty texts hold no token. Without labels of both kinds, or documents,
+    every score is the base rate.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).dropna().groupBy("_id").agg((F.max("_label") > 0).cast("int").alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELS)  # the bound that makes the broadcast safe
+    known = bounded(known).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
+    # at most MAX_LABELS rows, so that they may be broadcast
     marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, sums = slots_of(), np.zeros((3, SLOTS), np.int64)
+        """Documents that hold each slot, by kind (clean and toxic of each fold, all), and tokens of each slot."""
+        slots, sums = slots_of(), np.zeros((2 * FOLDS + 2, SLOTS), np.int64)
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, y, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 pieces = (t or "").split()
-                mine = np.unique(np.fromiter(map(slots.__getitem__, pieces), np.int64, len(pieces)))
-                sums[2][mine] += 1
+                mine, times = np.unique(np.fromiter(map(slots.__getitem__, pieces), np.int64, len(pieces)), return_counts=True)
+                sums[-1][mine] += times
+                sums[-2][mine] += 1
                 if y is not None:
-                    sums[y][mine] += 1
-        at = np.flatnonzero(sums[2])
+                    sums[2 * fold + y][mine] += 1
+        at = np.flatnonzero(sums[-1])
         for k in range(0, len(at), 10_000):
             part = at[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(s[part]) for s in sums)], names=["slot", "neg", "pos", "every"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(s[part]) for s in sums)], names=["slot", *kinds])
 
-    counts = marked.select("_text", "_label").mapInArrow(count, "slot long, neg long, pos long, every long").groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("neg", "pos", "every")))
-    dense = np.zeros((3, SLOTS))
+    kinds = [*(f"{kind}{fold}" for fold in range(FOLDS) for kind in ("neg", "pos")), "every", "tokens"]
+    counts = marked.select("_text", "_label", "_fold").mapInArrow(count, "slot long, " + ", ".join(f"{k} long" for k in kinds)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in kinds))
     got = counts.toArrow()  # SLOTS rows at most
-    for k, c in enumerate(("neg", "pos", "every")):
-        dense[k][got.column("slot").to_numpy()] = got.column(c).to_numpy()
-    weights = token_weights(dense[1], dense[0], dense[2])
-    model = Model(weights, karlin(weights, dense[2]), 0.0)
+    dense = {}
+    for c in kinds:
+        dense[c] = np.zeros(SLOTS)
+        dense[c][got.column("slot").to_numpy()] = got.column(c).to_numpy()
 
+    def model_of(folds: list[int]) -> Model:
+        weights = token_weights(sum(dense[f"pos{f}"] for f in folds), sum(dense[f"neg{f}"] for f in folds), dense["every"])
+        return Model(weights, karlin(weights, dense["tokens"]), 0.0)
+
+    # each fold is read with the weights of the others, so that the curve learns from documents its features haven't seen
+    model, others = model_of(list(range(FOLDS))), [model_of([f for f in range(FOLDS) if f != fold]) for fold in range(FOLDS)]
     train = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
-    model = calibrated(model, features(train, model, "_label").toArrow())  # MAX_LABELS rows at most
-    model = Model(model.weights, model.lam, model.log_k)
-    got = features(train, model, "_label").toArrow()
+    levels = settle(segment_levels(train, others))
+    # ln K: the median best segment of clean documents is the law's median
+    clean = levels.where("label = 0 and size(levels) > 0").groupBy("fold").agg(F.percentile(F.array_max("levels"), 0.5).alias("median")).collect()  # a row a fold
+    log_k = {r.fold: r.median + math.log(math.log(2)) for r in clean}
+    model.log_k = sum(log_k.values()) / len(log_k) if log_k else 0.0
+    ln_k = F.lit(model.log_k)
+    for fold, value in log_k.items():
+        ln_k = F.when(F.col("fold") == fold, F.lit(value)).otherwise(ln_k)
+    rated = levels.withColumn("log_k", ln_k)
+    best = F.when(F.col("words") == 0, F.lit(-20.0)).otherwise(F.greatest(F.coalesce(F.array_max("levels"), -F.log("words")) - F.col("log_k"), F.lit(-20.0)))
+    total = F.aggregate("levels", F.lit(0.0), lambda s, x: s + F.greatest(x - F.col("log_k") + math.log(SIGNIFICANCE), F.lit(0.0)))
+    got = rated.select("label", best.alias("best"), F.log1p(total).alias("total")).toArrow()  # MAX_LABELS rows at most
     x = np.column_stack([got.column("best").to_numpy(), got.column("total").to_numpy()]) if got.num_rows else np.zeros((0, 2))
     y = got.column("label").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if not len(y) or y.min() == y.max():
@@ -193,28 +220,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return model
 
 
-def features(train: DataFrame, model: Model, label: str) -> DataFrame:
-    shared = train.sparkSession.sparkContext.broadcast(model)
+def bounded(known: DataFrame, most: int = MAX_LABELS) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of their ids: a threshold, so that no task gathers them.
 
-    def make():
-        scorer = Scorer(shared.value)
+    The threshold aims at 2 % less, some nine deviations below ``most`` at its default.
+    """
+    n = known.count()
+    if n <= most:
+        return known
+    return known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(0.98 * most / n * (1 << 40)))
 
-        def run(texts: list[str], y: list[int]):
-            f = [scorer.features(t) for t in texts]
-            return y, [a for a, _ in f], [b for _, b in f], [len(t.split()) for t in texts]
 
-        return run
+def segment_levels(train: DataFrame, models: list[Model]) -> DataFrame:
+    """``label, fold, words, levels`` of each training document: lambda x - ln n of its segments under its fold's model."""
+    shared = train.sparkSession.sparkContext.broadcast(models)
 
-    return map_texts(train, "_id", "_text", "label int, best double, total double, words long", make, [label])
+    def make():
+        scorers = [Scorer(m) for m in shared.value]
 
+        def run(texts: list[str], y: list[int], folds: list[int]):
+            read = [scorers[f].levels(t) for t, f in zip(texts, folds, strict=True)]
+            return y, folds, [n for _, n in read], pa.array([[x for _, _, x in found] for found, _ in read], pa.list_(pa.float64()))
 
-def calibrated(model: Model, got: pa.Table) -> Model:
-    """Sets ln K from the clean training documents: their median best segment is the law's median."""
-    y, best, words = (got.column(c).to_numpy() for c in ("label", "best", "words"))
-    clean = best[(y == 0) & (words > 0) & (best > -20)]
-    if len(clean):
-        model.log_k += float(np.median(clean)) + math.log(math.log(2))
-    return model
+        return run
+
+    return map_texts(train, "_id", "_text", "label int, fold int, words long, levels array<double>", make, ["_label", "_fold"])
 
 
 def toxic_passages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -243,7 +273,7 @@ def toxic_passages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    """Rows of ``docs``, all columns, whose text scores below ``threshold``; null and empty texts have the lowest score there is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +294,7 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``, learned from labels of which none is held out; a null id is not held out. Cases as in :func:`toxic_passages`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxic_passages(docs, fit(docs, training_labels(spark, sf_dir)))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
