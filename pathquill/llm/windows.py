@@ -299,12 +299,18 @@ def by_content(runs: DataFrame, s: Symbols) -> DataFrame:
         for batch in batches:
             for r1, r2, x in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, s.views(x))), "<i8").reshape(-1, 2)
-                n = len(digest)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.full(n, r1)), pa.array(np.full(n, r2)), pa.array(np.arange(n))], names=["w1", "w2", "r1", "r2", "at"])
-
-    each = runs.where("packed is not null").select("r1", "r2", "packed").mapInArrow(explode, "w1 long, w2 long, r1 long, r2 long, at long")
+                at = np.lexsort((digest[:, 1], digest[:, 0]))
+                digest = digest[at]
+                first = np.flatnonzero(np.append(True, (digest[1:] != digest[:-1]).any(axis=1)))
+                n = len(first)
+                offsets = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(digest[first, 0]), pa.array(digest[first, 1]), pa.array(np.full(n, r1)), pa.array(np.full(n, r2)), offsets], names=["w1", "w2", "r1", "r2", "at"])
+
+    # a row for each content that a run has; what it has twice needs no other run
+    each = runs.where("packed is not null").select("r1", "r2", "packed").dropDuplicates(["r1", "r2"]).mapInArrow(explode, "w1 long, w2 long, r1 long, r2 long, at array<long>")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    single = each.join(twice, ["w1", "w2"]).select("r1", "r2", "at", (F.col("at") + 1).alias("end"))
+    shared = each.where("size(at) = 1").join(twice, ["w1", "w2"]).select("r1", "r2", "at").union(each.where("size(at) > 1").select("r1", "r2", "at"))
+    single = shared.select("r1", "r2", F.explode("at").alias("at")).select("r1", "r2", "at", (F.col("at") + 1).alias("end"))
     whole = runs.groupBy("r1", "r2").agg(F.sum("times").alias("n"), F.max("windows").alias("windows")).where("n > 1")
     both = single.union(whole.select("r1", "r2", F.lit(0).cast("long"), "windows"))
     # one row for each run: a run is bounded by its document
