@@ -8,7 +8,8 @@ edit similarity, not set overlap alone.
 Candidates are verified: shared labelled k-mers bound the similarity from above; what passes is aligned
 within the band of edits that the threshold allows, and the aligned runs give the shingles
 that both texts have in the same order. Links are texts whose ordered shingle similarity is ``threshold``
-or more. Equal texts are collapsed first. Buckets of more than ``block`` texts are dealt out as pairs of blocks.
+or more. Equal texts are collapsed first. Buckets of more than ``block_words`` words are dealt out as pairs of blocks, so
+that a task holds two blocks at most, however many or long the texts.
 """
 
 from __future__ import annotations
@@ -191,13 +192,13 @@ def link_group(words: list[np.ndarray], keys: np.ndarray, band: np.ndarray, bloc
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, block: int = 640) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, block_words: int = 150_000) -> DataFrame:
     """``doc_id, class_id, kept, n_words`` for every row of ``docs``.
 
     ``class_id`` is the smallest id reachable by links; the document with that id is kept. Case and marks
     around words don't count. Texts of fewer than five words link with equal ones only; null, empty and
-    wordless texts, and rows without an id, are classes of their own and kept. Rows that share an
-    id are one document: they stay or go together.
+    wordless texts, and rows without an id, are classes of their own and kept. Texts are known by their content, so rows
+    that share an id link by each of their texts. Very long texts are compared whole; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -216,32 +217,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     base = settle(source.mapInArrow(sketch, f"doc_id {kind}, e1 long, e2 long, n_words long, keys array<long>"))
-    reps = base.where("n_words > 0 and doc_id is not null").groupBy("e1", "e2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    reps = base.where("n_words > 0 and doc_id is not null").groupBy("e1", "e2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
     reps = settle(reps)
-    keyed = reps.select("rep", F.posexplode("keys").alias("band", "key"))
-    full = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    keyed = reps.select("e1", "e2", "n_words", F.posexplode("keys").alias("band", "key"))
+    full = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum(F.xxhash64("e1", "e2").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # buckets of the same members under several sketches are compared once
-    full = full.groupBy("n", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("n", "at.band", "at.key")
-    met = keyed.join(full, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    full = full.groupBy("n", "words", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("words", "at.band", "at.key")
+    met = keyed.join(full, ["band", "key"]).withColumn("blocks", F.ceil(F.col("words") / block_words).cast("int"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("e1", "e2"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = met.select("band", "key", "rep", "block", other).select("band", "key", "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    dealt = met.select("band", "key", "e1", "e2", "block", other).select("band", "key", "e1", "e2", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
 
-    wanted = dealt.select("rep").distinct()
+    wanted = met.select("e1", "e2").distinct().join(reps, ["e1", "e2"]).select("rep").distinct()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(word_hash)
         for batch in batches:
-            words = [words_of(t or "", cache).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["rep", "words"])
+            every = [words_of(t or "", cache) for t in batch.column(0).to_pylist()]
+            pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.tobytes()) for w in every), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([w.astype(np.uint32).tobytes() for w in every], pa.binary())], names=["e1", "e2", "words"])
 
     # 32 bits a word: two words of a pair of texts agree by chance once in 2^32
-    texts = source.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(number, f"rep {kind}, words binary")
+    texts = source.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").select("text").mapInArrow(number, "e1 long, e2 long, words binary").dropDuplicates(["e1", "e2"])
     by = ["band", "key", "bi", "bj"]
-    loaded = dealt.join(reps.select("rep", "keys"), "rep").join(texts, "rep").repartition(shuffle_width(spark), *by).sortWithinPartitions(*by, "rep")
+    loaded = dealt.join(reps.select("e1", "e2", "rep", "keys").join(texts, ["e1", "e2"]), ["e1", "e2"]).repartition(shuffle_width(spark), *by).sortWithinPartitions(*by, "rep", "e1")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, by, 1_000):
+        for t in whole_groups(batches, by, 200):
             starts = np.append(group_starts(t, by), t.num_rows)
             rep = t.column("rep").to_pylist()
             band, block = (t.column(k).to_numpy() for k in ("band", "block"))
@@ -268,11 +270,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Rows of ``docs``, all columns, one document of each class: the one with the smallest id."""
+    """Rows of ``docs``, all columns, one document of each class: the one with the smallest id.
+
+    Rows that share an id stay or go together (they stay if one of their texts does); null, empty and wordless texts and
+    rows without an id stay.
+    """
     found = near_duplicates(docs, doc_id, text, threshold).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near duplicates of all ``documents``; nulls, ties and repeated rows as in :func:`near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))
