@@ -153,9 +153,12 @@ class Database:
             state["version"] += 1
             gone = [x for x in state["old"] if x["version"] <= state["version"] - KEPT]
             state["old"] = [x for x in state["old"] if x not in gone]
-            if self.files.exists(self._catalog(state["version"])):
-                raise EngineError("another writer has changed the database meanwhile")
-            self.files.write(self._catalog(state["version"]), json.dumps(state), overwrite=False)
+            place = self._catalog(state["version"])
+            if self.files.exists(place):
+                if self.catalog()["version"] >= state["version"]:
+                    raise EngineError("another writer has changed the database meanwhile")
+                self.files.delete(place)  # torn, by a writer that is gone
+            self.files.write(place, json.dumps(state), overwrite=False)
             for x in gone:
                 self.files.delete(x["place"])
             for version in self._versions()[KEPT:]:

@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         place = sc.getConf().get("spark.checkpoint.dir")
-        if not place and not sc.master.startswith("local["):
+        if not place and sc.master != "local" and not sc.master.startswith("local["):
             raise EngineError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="pathquill-shared-"))
     return sc.getCheckpointDir()

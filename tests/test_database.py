@@ -130,3 +130,74 @@ def test_requests(db):
     assert r.handle("POST", "/", "@web/[a = 1]").body == '\r\n1\t{"a":1,"b":2}'
     assert r.handle("POST", "/", "@web/* | count", own).body == "1"
     assert r.handle("DELETE", "/web/1", "", own).status == 200
+
+
+def test_server(db):
+    """Documents by HTTP, a query's answer in chunks, and commands by WebSocket."""
+    import base64
+    import http.client
+    import os
+    import socket
+    import threading
+
+    from pathquill.sources import server
+
+    db.put_all("served", [{"a": 1}, {"a": 2}])
+    s = server.serve(db, token="t")
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    try:
+        con = http.client.HTTPConnection(*s.server_address)
+
+        def ask(method, path, body=None, token="t"):
+            con.request(method, path, body, {"X-Access-Token": token} if token else {})
+            got = con.getresponse()
+            return got.status, got.read().decode()
+
+        assert ask("GET", "/served/2") == (200, '{\n "a": 2\n}')
+        assert ask("GET", "/served/2", token=None)[0] == 401
+        assert ask("POST", "/", "@served/[a > 0] | asc /a") == (200, '\r\n1\t{"a":1}\r\n2\t{"a":2}')
+        raw = socket.create_connection(s.server_address)
+        key = base64.b64encode(os.urandom(16)).decode()
+        raw.sendall(f"GET / HTTP/1.1\r\nHost: x\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nX-Access-Token: t\r\nSec-WebSocket-Key: {key}\r\n\r\n".encode())
+        stream = raw.makefile("rb")
+        assert b"101" in stream.readline()
+        headers = b"".join(iter(stream.readline, b"\r\n")).decode()
+        assert server.accept_key(key) in headers
+        for text, wanted in (("k1 get served 1", 'k1\t1\t{"a": 1}'), ("k2 @served/* | count", "k2\t2")):
+            mask, data = b"\x01\x02\x03\x04", text.encode()
+            raw.sendall(bytes([0x81, 0x80 | len(data)]) + mask + bytes(b ^ mask[i % 4] for i, b in enumerate(data)))
+            assert server.read_message(stream.read, 1 << 20) == (server.TEXT, wanted.encode())
+        raw.sendall(bytes([0x88, 0x80]) + bytes(4))
+        assert server.read_message(stream.read, 1 << 20)[0] == server.CLOSE
+    finally:
+        s.shutdown()
+
+
+def test_crashes_and_locks(db, spark, tmp_path, monkeypatch):
+    """A change that fails, a torn catalog and a lock left behind leave the state before; old files go in the end."""
+    from pathquill.sources import database
+
+    one = Database(spark, str(tmp_path / "x"))
+    one.put_all("c", [{"a": i} for i in range(3)])
+    with pytest.raises(RuntimeError), one.change() as state:
+        state["collections"].clear()
+        raise RuntimeError
+    assert one.count("@c/* | count") == 3
+    version = one.catalog()["version"]
+    (tmp_path / "x" / f"catalog-{version + 1:012d}.json").write_text('{"version": 9')
+    assert one.count("@c/* | count") == 3
+    (tmp_path / "x" / "writer.lock").write_text('{"owner": "gone", "until": 1}')
+    assert one.put("c", {"a": 9}) == 4
+    (tmp_path / "x" / "writer.lock").write_text('{"owner": "there", "until": 9e12}')
+    monkeypatch.setattr(database, "WAIT", 0.2)
+    with pytest.raises(database.EngineError):
+        one.put("c", {"a": 9})
+    (tmp_path / "x" / "writer.lock").unlink()
+    monkeypatch.setattr(database, "DELTAS", 2)
+    for i in range(4):
+        one.put("c", {"a": 10 + i}, 2)
+    one.delete("c", 1)
+    assert dict(one.list("@c/* | /a")) == {2: {"a": 13}, 3: {"a": 2}, 4: {"a": 9}}
+    assert one.info()["collections"][0]["rnum"] == 3
+    kept = [p.name for p in (tmp_path / "x").iterdir()]
+    assert len([n for n in kept if n.startswith("catalog-") and not n.endswith(".crc")]) == database.KEPT
