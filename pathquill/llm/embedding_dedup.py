@@ -198,12 +198,13 @@ def links_of(t: pa.Table, by: list[str], tables: int, bits: int, threshold: floa
         i, j = i[ok], j[ok]
         ok = np.minimum(estimate(c, i, j) + bound(c, i, confidence) + bound(c, j, confidence), 2) >= threshold
         i, j = i[ok], j[ok]
+        # what is left to recompute is recomputed in the first table of the pair alone
+        ok = np.argmax(c["keys"][i] == c["keys"][j], axis=1) == tab[i] if len(i) else ok[:0]
+        i, j = i[ok], j[ok]
         ok = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
         i, j = i[ok], j[ok]
         if not len(i):
             continue
-        first = np.argmax(c["keys"][i] == c["keys"][j], axis=1) == tab[i]
-        i, j = i[first], j[first]
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
         join_roots(parent, i, j)
@@ -228,4 +229,5 @@ def join_roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all ``embeddings``; nulls, ties, repeated rows and an empty table as in :func:`near_vectors`."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
