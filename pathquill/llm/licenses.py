@@ -12,30 +12,63 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
 
-# License statements as they are written in headers, and short license texts.
-TEMPLATES = [
+# License statements as they are written in files' headers.
+HEADERS = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# How the long license texts begin; a file with such lines is the license.
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+]
+# Short license texts, whole.
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+TEXTS = [
+    ("MIT", 'MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("BSD-2-Clause", f"{_TWO} {_AS_IS}"),
+    ("BSD-3-Clause", f"{_TWO} {_THIRD} {_AS_IS}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+]
+#: (license, text, kind)
+TEMPLATES = [(*x, kind) for kind, xs in (("header", HEADERS), ("title", TITLES), ("text", TEXTS)) for x in xs]
+#: A whole file that is no more than a header speaks for its directory too; with code behind it, it doesn't.
+ALONE = 0.99
+#: A tag that names its license.
+TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 THRESHOLD = 0.75
 #: What separates terms, after lower-casing.
 GAP = r"[^a-z0-9\u0080-￿]+"
@@ -45,9 +78,9 @@ def terms(text: str) -> list[str]:
     return [t for t in re.split(GAP, text.lower()) if t]
 
 
-VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+VOCABULARY = sorted({t for _, text, _ in TEMPLATES for t in terms(text)})
 #: Terms of a run of lines at most: of more than this, too few can be a template's.
-RUN_TERMS = 4 * max(len(terms(text)) for _, text in TEMPLATES)
+RUN_TERMS = 4 * max(len(terms(text)) for _, text in HEADERS + TITLES)
 
 
 def split_terms(text):
@@ -63,7 +96,7 @@ def document_counts(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
 
 
 def weighted(found: dict[str, int] | None = None, n: int = 0) -> tuple[list[tuple[int, str, str, float]], float, dict[str, float]]:
-    """(template, license, term, unit weight) rows, the idf of unknown terms, and the idf of the known.
+    """(template, license, term, unit weight) rows of :data:`TEMPLATES`, the idf of unknown terms, and the idf of the known.
 
     A term's weight is (1 + ln tf) ln(1 + N / (1 + df)), with documents counted over the whole table; terms that
     no template has weigh as the templates' mean.
@@ -71,7 +104,7 @@ def weighted(found: dict[str, int] | None = None, n: int = 0) -> tuple[list[tupl
     found = found or {}
     idf = {t: math.log(1 + max(n, 1) / (1 + found.get(t, 0))) for t in VOCABULARY}
     rows = []
-    for k, (license, text) in enumerate(TEMPLATES):
+    for k, (license, text, _) in enumerate(TEMPLATES):
         x = {t: (1 + math.log(c)) * idf[t] for t, c in Counter(terms(text)).items()}
         norm = math.sqrt(sum(w * w for w in x.values()))
         rows += [(k, license, t, w / norm) for t, w in sorted(x.items())]
@@ -98,12 +131,16 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
 def can_reach(found, rows: list[tuple[int, str, str, float]], threshold: float):
     """Whether texts with these terms can reach the threshold: a cosine is at most the length of the template's part on them."""
 
-    def mass(held, k: int):
-        pairs = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w * w).alias("mass")) for j, _, t, w in rows if j == k))
-        return F.aggregate(pairs, F.lit(0.0), lambda sum, p: sum + F.when(F.array_contains(held, p["term"]), p["mass"]).otherwise(0.0))
+    kinds = sorted({r[0] for r in rows})
+    masses: dict[str, list[float]] = {}
+    for j, _, t, w in rows:
+        masses.setdefault(t, [0.0] * len(kinds))[kinds.index(j)] = w * w
+    none = F.array(*(F.lit(0.0) for _ in kinds))
+    table = F.create_map(*(x for t, m in sorted(masses.items()) for x in (F.lit(t), F.array(*map(F.lit, m)))))
 
     def some(held):
-        return reduce(Column.__or__, (mass(held, k) >= threshold**2 - 1e-6 for k in sorted({r[0] for r in rows})))
+        total = F.aggregate(held, none, lambda sums, t: F.zip_with(sums, F.coalesce(F.try_element_at(table, t), none), lambda a, b: a + b))
+        return F.exists(total, lambda x: x >= threshold**2 - 1e-6)
 
     # the array of one is where the terms are computed once
     return F.exists(F.array(F.array_intersect(found, F.array(*map(F.lit, VOCABULARY)))), some)
@@ -154,7 +191,11 @@ def wrapped_headers(runs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def best_license(units: DataFrame, keys: list[str], text: str, threshold: float, model) -> DataFrame:
-    """``keys, license, cosine`` of the nearest template of each text that reaches the threshold."""
+    """``keys, license, cosine, kind`` of the nearest template of each text that reaches the threshold, by its kind too.
+
+    A file's whole text (``text``) may be near a license text, or be no more than a header; runs of lines are
+    headers or titles.
+    """
     spark = units.sparkSession
     rows, unknown, idf = model
     weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))  # the fixed templates
@@ -164,32 +205,47 @@ def best_license(units: DataFrame, keys: list[str], text: str, threshold: float,
     norm = bag.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = bag.join(weights, "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     near = dot.join(norm, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
-    return near.groupBy(*keys).agg(F.max_by("license", F.struct("cosine", -F.col("template"))).alias("license"), F.max("cosine").alias("cosine"))
+    titles = [k for k, (_, _, kind) in enumerate(TEMPLATES) if kind == "title"]
+    order = F.struct("cosine", -F.col("template"))
+    return near.groupBy(*keys).agg(F.max_by("license", order).alias("license"), F.max("cosine").alias("cosine"), F.max_by(F.col("template").isin(titles), order).alias("title"))
+
+
+def of_kinds(rows: list[tuple[int, str, str, float]], *kinds: str) -> list[tuple[int, str, str, float]]:
+    return [r for r in rows if TEMPLATES[r[0]][2] in kinds]
 
 
 def license_scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``file_id, license, n_headers, is_license_file, inherited_from, effective_license`` for every distinct id.
 
     ``license`` is the nearest template of the file's best line or run of lines (the first of equal cosine), or of its
-    whole text; null without one. ``n_headers`` counts lines that are headers alone, and headers wrapped over several. A file is a licence file if its whole text reaches the threshold;
-    it speaks for its directory (of several, the nearest template wins) and for all below without
+    whole text, or what a tag names; null without one. ``n_headers`` counts lines that are headers alone, headers wrapped over several, and tags. A file is a
+    licence file if its whole text is near a short licence's text, if it is no more than a header, or if it has a long
+    licence's title; it speaks for its directory (of several, the nearest template wins) and for all below without
     a nearer one. Null or empty texts have no licence but inherit; a null path has no directory and
     inherits nothing. Ids are taken as unique; a repeated one is one file with all its rows' lines.
     """
     docs = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.col(text).alias("text"))
-    model = weighted(*document_counts(docs, "text"))
-    pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])(?:" + "|".join(map(re.escape, anchors(model[0], threshold))) + r")(?:$|[^a-z0-9\u0080-￿])"
+    rows, unknown, idf = weighted(*document_counts(docs, "text"))
+    short = of_kinds(rows, "header", "title")
+    pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])(?:" + "|".join(map(re.escape, anchors(rows, threshold))) + r")(?:$|[^a-z0-9\u0080-￿])"
     # the texts that hold an anchor are read once more as lines and as wholes; distinct lines are few
-    held = docs.where(F.col("text").rlike(pattern)).where(can_reach(split_terms("text"), model[0], threshold))
-    runs = line_runs(held, model[0], threshold)
+    held = docs.where(F.col("text").rlike(pattern)).where(can_reach(split_terms("text"), rows, threshold))
+    runs = line_runs(held, short, threshold)
     lines = held.select("file_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(F.col("line").rlike(pattern))
     lines = settle(lines.groupBy("file_id", "line").agg(F.count("*").alias("times")))
     distinct = lines.select("line").union(runs.select("unit")).distinct().withColumn("unit", F.col("line"))
-    named = settle(best_license(distinct, ["unit"], "line", threshold, model))
+    named = settle(best_license(distinct, ["unit"], "line", threshold, (short, unknown, idf)))
     alone = lines.join(named.withColumnRenamed("unit", "line"), "line").select("file_id", "times", "license", "cosine")
-    headers = alone.union(wrapped_headers(runs, named)).groupBy("file_id").agg(F.sum("times").alias("n_headers"), F.max_by("license", F.struct("cosine", "license")).alias("header"), F.max("cosine").alias("cosine"))
+    found = alone.union(wrapped_headers(runs, named))
+    # a tag names its license, and is a header
+    tags = docs.where(F.col("text").contains("SPDX-License-Identifier:")).select("file_id", F.explode(F.regexp_extract_all("text", F.lit(TAG), 1)).alias("license"))
+    tags = tags.groupBy("file_id", "license").agg(F.count("*").alias("times")).select("file_id", "times", "license", F.lit(2.0).alias("cosine"))
+    headers = found.union(tags).groupBy("file_id").agg(F.sum("times").alias("n_headers"), F.max_by("license", F.struct("cosine", "license")).alias("header"), F.max("cosine").alias("cosine"))
     # a whole text is near a template only if it is about as long: its norm is at most the dot over the threshold
-    whole = best_license(held.select("file_id", "text"), ["file_id"], "text", threshold, model).select("file_id", F.col("license").alias("whole"), F.col("cosine").alias("whole_cosine"))
+    texts = best_license(held.select("file_id", "text"), ["file_id"], "text", threshold, (of_kinds(rows, "text"), unknown, idf)).select("file_id", "license", "cosine")
+    bare = best_license(held.select("file_id", "text"), ["file_id"], "text", ALONE, (of_kinds(rows, "header"), unknown, idf)).select("file_id", "license", "cosine")
+    titled = runs.select("file_id", "unit").union(lines.select("file_id", "line")).join(named.where("title"), "unit").select("file_id", "license", "cosine")
+    whole = texts.union(bare).union(titled).groupBy("file_id").agg(F.max_by("license", F.struct("cosine", "license")).alias("whole"), F.max("cosine").alias("whole_cosine"))
     ids = docs.select("file_id", directory("path").alias("dir")).groupBy("file_id").agg(F.min("dir").alias("dir"))
     own = settle(ids.join(headers, "file_id", "left").join(whole, "file_id", "left"))
 
@@ -221,6 +277,7 @@ def ancestors(dir: str):
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all ``documents``, with source, language and id as the path that the table lacks; cases as in :func:`license_scan`."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
     return license_scan(docs.select("doc_id", "text", path.alias("path")))

@@ -1,6 +1,7 @@
 """Vectors, toxicity, licenses, components and the pipeline."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,6 +53,23 @@ def test_near_vectors(spark, block):
     assert len(got) == len({r[0] for r in rows})
 
 
+def test_recall_at_defaults(spark):
+    """Pairs just above the threshold, by the operator's own parameters."""
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= np.einsum("nd,nd->n", a, b)[:, None] * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9302, 0.945, 1000)[:, None]
+    b = a * cosine + b * np.sqrt(1 - cosine**2)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(np.concatenate([a, b]))]
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert np.mean([got[1000 + i].component_id == i and got[i].n_links == 1 for i in range(1000)]) > 0.985
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
+    assert embedding_dedup.near_vectors(empty).count() == 0
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 64))
@@ -130,7 +148,7 @@ def test_licenses(spark):
 
 
 def test_wrapped_license_headers(spark):
-    words = {name: text.split() for name, text in licenses.TEMPLATES}  # the last, longest template of each
+    words = {name: text.split() for name, text in licenses.HEADERS}  # the last, longest template of each
     code = "\n".join("def f%d(x): return x + %d  # some code here" % (i, i) for i in range(30))
 
     def wrapped(name, n, mark):
@@ -152,11 +170,64 @@ def test_wrapped_license_headers(spark):
     assert (got[5].license, got[5].n_headers) == (None, 0)
 
 
+def test_license_files_and_tags(spark):
+    """Standard licence files speak for their directories, files with a standard header and code don't; tags name their licence."""
+    mit, apache = dict(licenses.TEXTS)["MIT"], [t for n, t in licenses.HEADERS if n == "Apache-2.0"][-1]
+    gpl = [t for n, t in licenses.HEADERS if n == "GPL-3.0"][-1]
+    title = dict(licenses.TITLES)["Apache-2.0"].replace("Version", "\nVersion").replace("http", "\nhttp").replace("TERMS", "\n\nTERMS")
+    body = "\n".join("%d. Clause on matters of grant and notice number %d, of which this file has many more words." % (i, i) for i in range(60))
+
+    def wrapped(text, mark):
+        w = text.split()
+        return "\n".join(mark + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+
+    files = [
+        (1, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 Ann Author\n\n" + wrapped(mit[len("MIT License ") :], "")),
+        (2, "a/x.py", "print(1)"),
+        (3, "b/x.c", "/*\n" + wrapped(apache, " * ") + "\n */\nint main() { return 0; }\nint other(int value) { return value + 1; }"),
+        (4, "b/y.c", "int y;"),
+        (5, "c/x.py", wrapped(gpl, "# ") + "\nx = 1"),
+        (6, "d/x.rs", "// SPDX-License-Identifier: MPL-2.0\nfn main() {}"),
+        (7, "e/LICENSE", title + "\n\n" + body),
+        (8, "e/z.py", "pass"),
+        (8, "e/z.py", "pass"),
+        (9, "f/x.py", "# SPDX-License-Identifier: Own-1.0\n"),
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert len(got) == 9
+    assert {k for k, r in got.items() if r.is_license_file} == {1, 7}
+    assert {k: r.effective_license for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: None, 5: "GPL-3.0", 6: "MPL-2.0", 7: "Apache-2.0", 8: "Apache-2.0", 9: "Own-1.0"}
+    assert got[2].inherited_from == "a" and got[8].inherited_from == "e"
+
+
+def test_license_cosines_by_brute_force(spark):
+    """Cosines of lines and wholes to all templates, said once more in plain Python."""
+    rng = random.Random(3)
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    units = [" ".join(w for w in rng.choice(texts).split() if rng.random() < 0.8) + rng.choice(["", " and more words here"]) for _ in range(60)] + ["", "nothing"]
+    df = spark.createDataFrame(list(enumerate(units)), "unit long, line string")
+    model = licenses.weighted({"license": 5, "the": 40}, 50)
+    got = {r.unit: r for r in licenses.best_license(df, ["unit"], "line", 0.75, model).collect()}
+    rows, unknown, idf = model
+    for k, unit in enumerate(units):
+        bag = {t: (1 + np.log(c)) * idf.get(t, unknown) for t, c in Counter(licenses.terms(unit)).items()}
+        norm = sum(x * x for x in bag.values()) ** 0.5
+        cosines = {}
+        for j, _, t, w in rows:
+            cosines[j] = cosines.get(j, 0.0) + bag.get(t, 0.0) * w / (norm or 1)
+        best = max(cosines.values())
+        if best >= 0.75:
+            assert got[k].cosine == pytest.approx(best, abs=1e-6)
+            assert got[k].license in {licenses.TEMPLATES[j][0] for j, c in cosines.items() if c > best - 1e-6}
+        else:
+            assert k not in got
+
+
 def test_license_anchors_lose_nothing():
     """A text without any anchor stays below the threshold, by brute force over the templates' other terms."""
     rows, unknown, idf = licenses.weighted()
     anchors = set(licenses.anchors(rows, licenses.THRESHOLD))
-    for k, (_, text) in enumerate(licenses.TEMPLATES):
+    for k, (_, text, _) in enumerate(licenses.TEMPLATES):
         left = [t for t in licenses.terms(text) if t not in anchors]
         bag = {t: left.count(t) * idf[t] for t in left}
         norm = sum(x * x for x in bag.values()) ** 0.5
