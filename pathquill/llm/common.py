@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the session runs on one machine a
+    temporary folder takes its place. The session's cleaner deletes the files when nothing refers to them any more.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -31,7 +31,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for tables between steps."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pathquill-checkpoint-"))
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="pathquill-checkpoint-"))
     return sc.getCheckpointDir()
 
 

@@ -276,7 +276,8 @@ def drop_contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int =
     """Rows of ``docs``, all columns, of whose words at most ``share`` lie in benchmark windows.
 
     The words in windows are those that :func:`contamination` finds over all blocks; rows are dropped by two hashes
-    of their text, written down first so that Spark sees how few they are.
+    of their text, written down first so that Spark sees how few they are. Null and empty texts stay, equal texts stay or go
+    together, and a benchmark without items drops nothing.
     """
     spark = docs.sparkSession
     keys = F.xxhash64(text), F.xxhash64(F.lit(1), text)
@@ -294,6 +295,7 @@ def digest(items: list[str]) -> str:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all ``documents``; nulls, empty texts and items, repeated rows and ids as in :func:`contamination`."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, run: n + run[1] - run[0])
     return found.select(

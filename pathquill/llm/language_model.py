@@ -474,5 +474,6 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``, learned from those not held out; a null id is not held out. Cases as in :func:`score_texts`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, docs.where(~held_out())).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -128,6 +128,7 @@ def left_over(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated windows of words of all ``documents``; nulls, empty and long texts and repeated rows as in :func:`without_repeats`."""
     found = without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -231,6 +231,7 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of bytes of all ``documents``; nulls, empty and long texts and repeated rows as in :func:`without_repeats`."""
     found = without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -122,6 +122,7 @@ def token_counts(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all ``documents``; nulls, empty and long texts and repeated rows as in :func:`token_counts`."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
