@@ -9,6 +9,7 @@ without a licence of its own takes the one of the nearest ancestor directory tha
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -87,9 +88,14 @@ def split_terms(text):
     return F.filter(F.split(F.lower(text), GAP), lambda t: t != "")
 
 
+def vocabulary():
+    """The templates' terms as one constant."""
+    return F.split(F.lit(" ".join(VOCABULARY)), " ")
+
+
 def document_counts(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
     """In how many documents each template term occurs, and how many documents there are."""
-    held = F.array_intersect(F.split(F.lower(text), GAP), F.array(*map(F.lit, VOCABULARY)))
+    held = F.array_intersect(F.split(F.lower(text), GAP), vocabulary())
     rows = docs.select(F.explode(F.coalesce(F.array_append(held, F.lit("")), F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()  # the templates' terms
     found = {r.term: r["count"] for r in rows}
     return found, found.get("", 0)
@@ -128,6 +134,18 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
     return sorted(out)
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern for any of the words that looks at each letter once: alternatives share their beginnings."""
+    ends, by_letter = "" in words, {}
+    for w in words:
+        if w:
+            by_letter.setdefault(w[0], []).append(w[1:])
+    if not by_letter:
+        return ""
+    inner = "|".join(re.escape(letter) + one_of(rest) for letter, rest in sorted(by_letter.items()))
+    return f"(?:{inner})" + "?" * ends
+
+
 def can_reach(found, rows: list[tuple[int, str, str, float]], threshold: float):
     """Whether texts with these terms can reach the threshold: a cosine is at most the length of the template's part on them."""
 
@@ -135,15 +153,15 @@ def can_reach(found, rows: list[tuple[int, str, str, float]], threshold: float):
     masses: dict[str, list[float]] = {}
     for j, _, t, w in rows:
         masses.setdefault(t, [0.0] * len(kinds))[kinds.index(j)] = w * w
-    none = F.array(*(F.lit(0.0) for _ in kinds))
-    table = F.create_map(*(x for t, m in sorted(masses.items()) for x in (F.lit(t), F.array(*map(F.lit, m)))))
+    none = F.array_repeat(F.lit(0.0), len(kinds))
+    table = F.from_json(F.lit(json.dumps(masses)), "map<string,array<double>>")  # a constant, as one expression
 
     def some(held):
         total = F.aggregate(held, none, lambda sums, t: F.zip_with(sums, F.coalesce(F.try_element_at(table, t), none), lambda a, b: a + b))
         return F.exists(total, lambda x: x >= threshold**2 - 1e-6)
 
     # the array of one is where the terms are computed once
-    return F.exists(F.array(F.array_intersect(found, F.array(*map(F.lit, VOCABULARY)))), some)
+    return F.exists(F.array(F.array_intersect(found, vocabulary())), some)
 
 
 def line_runs(held: DataFrame, rows: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
@@ -151,11 +169,9 @@ def line_runs(held: DataFrame, rows: list[tuple[int, str, str, float]], threshol
 
     A run begins and ends at lines with a template's term, as others only lower its cosine.
     """
-    vocabulary = F.array(*map(F.lit, VOCABULARY))
-
     def line(x):
         # one array of terms for both figures
-        return F.transform(F.array(split_terms(x)), lambda t: F.struct(x.alias("line"), F.size(t).alias("n"), (F.size(F.array_intersect(t, vocabulary)) > 0).alias("known")))[0]
+        return F.transform(F.array(split_terms(x)), lambda t: F.struct(x.alias("line"), F.size(t).alias("n"), (F.size(F.array_intersect(t, vocabulary())) > 0).alias("known")))[0]
 
     lines = F.filter(F.transform(F.split("text", r"\r?\n"), line), lambda x: x["n"] > 0)
     ahead = F.flatten(F.transform(F.array(lines), lambda all: F.transform(all, lambda x, i: F.struct(i.alias("i"), x["known"].alias("known"), F.slice(all, i + 1, F.lit(RUN_TERMS)).alias("ahead")))))
@@ -227,7 +243,7 @@ def license_scan(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     docs = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.col(text).alias("text"))
     rows, unknown, idf = weighted(*document_counts(docs, "text"))
     short = of_kinds(rows, "header", "title")
-    pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])(?:" + "|".join(map(re.escape, anchors(rows, threshold))) + r")(?:$|[^a-z0-9\u0080-￿])"
+    pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])" + one_of(anchors(rows, threshold)) + r"(?:$|[^a-z0-9\u0080-￿])"
     # the texts that hold an anchor are read once more as lines and as wholes; distinct lines are few
     held = docs.where(F.col("text").rlike(pattern)).where(can_reach(split_terms("text"), rows, threshold))
     runs = line_runs(held, short, threshold)

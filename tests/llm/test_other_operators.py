@@ -223,6 +223,15 @@ def test_license_cosines_by_brute_force(spark):
             assert k not in got
 
 
+def test_shared_beginnings():
+    import re
+
+    words = ["a", "abc", "abd", "x", "xyz", "b.c"]
+    pattern = re.compile(licenses.one_of(words))
+    for w in [*words, "", "ab", "xy", "bxc", "abcd", "y"]:
+        assert bool(pattern.fullmatch(w)) is (w in words), w
+
+
 def test_license_anchors_lose_nothing():
     """A text without any anchor stays below the threshold, by brute force over the templates' other terms."""
     rows, unknown, idf = licenses.weighted()
