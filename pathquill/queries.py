@@ -198,6 +198,9 @@ def _documents(text: str, table: str):
 DOCUMENTS: dict[str, tuple[Callable, str]] = {
     "docs_filter": (_documents("/[p_size > 40] and /[p_brand = \"Brand#2\"] | count", "part"), "select count(*) as count from part where p_size > 40 and p_brand = 'Brand#2'"),
     "docs_wildcard": (_documents('/**/[[* = c_mktsegment] in ["BUILDING"]] | count', "customer"), "select count(*) as count from customer where c_mktsegment = 'BUILDING'"),
+    "docs_keys": (_documents('/[[* ~ "n_"] = 3] | /n_nationkey', "nation"), """select n_nationkey as id, '{"n_nationkey":' || n_nationkey || '}' as doc from nation where n_nationkey = 3 or n_regionkey = 3 or n_name = '3'"""),
+    "docs_star": (_documents("/*/[** > 0.3] | count", "embeddings"), "select count(*) as count from embeddings where len(list_filter(embedding, lambda x: x::double > 0.3)) > 0"),
+    "docs_contains": (_documents("/[n_regionkey in [1,\"3\"]] and not /[n_name ni 3] | count", "nation"), "select count(*) as count from nation where n_regionkey in (1, 3)"),
     "docs_projection": (_documents("/[n_regionkey = 2] | /n_name", "nation"), "select n_nationkey as id, '{\"n_name\":\"' || n_name || '\"}' as doc from nation where n_regionkey = 2"),
     "docs_apply": (_documents('/[n_regionkey = 2] | apply [{"op":"remove","path":"/n_regionkey"},{"op":"remove","path":"/n_nationkey"}] | all', "nation"), "select n_nationkey as id, '{\"n_name\":\"' || n_name || '\"}' as doc from nation where n_regionkey = 2"),
     "docs_topk": (_documents("/* | /s_suppkey | desc /s_acctbal limit 5", "supplier"), "select s_suppkey as id, '{\"s_suppkey\":' || s_suppkey || '}' as doc from supplier order by s_acctbal desc limit 5"),
