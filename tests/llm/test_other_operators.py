@@ -266,3 +266,22 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {i for i in text if not (i < 40 and i % 2 == 0)} - {43, 47, 53} | {100, 101}
     assert got[49].n_tokens < 300 and got[100].n_tokens == 0
+
+
+def test_pipeline_of_hostile_rows(spark, tmp_path):
+    """Repeated rows, nulls, a very long text, an extra column with a clashing name, no labels and no benchmark; then no documents at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(9000)]
+    text = [" ".join(rng.choices(words, k=n)) for n in (40, 60, 30_000)]
+    rows = [(1, text[0], "k"), (1, text[0], "k"), (2, text[1], None), (2, None, "k"), (3, text[2], "k"), (None, text[0] + " and its own end", "k"), (4, "", "k"), (5, "word", "k")]
+    schema = "doc_id long, text string, _k1 string"
+    for name, data in (("full", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = sorted((str(r.doc_id), r.n_tokens > 0) for r in pipeline.run(spark, f"{tmp_path}/full").collect())
+    # the rows of document 1 repeat each other, and most of the row without an id
+    assert [x for x, _ in got] == ["1", "1", "2", "2", "3", "4", "5", "None"]
+    assert dict(got)["3"] and dict(got)["5"] and not dict(got)["4"]
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
