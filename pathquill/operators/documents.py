@@ -112,6 +112,8 @@ def projected(found: DataFrame, q: Query, resolve=None) -> DataFrame:
         return found
     joins = join_steps(q) if resolve else []
     fetched, many = [], []
+    if q.order and joins:
+        found = found.withColumn("_at", F.monotonically_increasing_id())  # a join moves rows: their places are kept
     for k, (path, target) in enumerate(joins):
         other = resolve(target)
         if other is None:
@@ -127,6 +129,8 @@ def projected(found: DataFrame, q: Query, resolve=None) -> DataFrame:
     behind = bool(many)
     if behind:
         found = with_references(found, many)
+    if "_at" in found.columns:
+        found = found.orderBy("_at")
 
     def change(i, value, *rest):
         known = {(t, rest[2 * n]): load(rest[2 * n + 1]) for n, (t, _, _) in enumerate(fetched)}

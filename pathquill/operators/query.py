@@ -182,7 +182,10 @@ def select(c: Collection, q: Query, catalog: Catalog, skip: int | None = None, l
         return df.agg(F.count(F.lit(1)).alias("count"))
     if not q.projection or Projector(q).identity and not references(q, df.schema):
         return df
-    extra = resolved(df, q, catalog, unresolved)
-    out = project(extra, q)
-    kept = [n for n in extra.columns if n not in df.columns]
-    return out if not kept else project(extra, q, kept)
+    if not references(q, df.schema):
+        return project(df, q)
+    # a join moves rows: their places are kept where the query orders them
+    extra = resolved(df.withColumn("_at", F.monotonically_increasing_id()) if q.order else df, q, catalog, unresolved)
+    if q.order:
+        extra = extra.orderBy("_at").drop("_at")
+    return project(extra, q, [n for n in extra.columns if n not in df.columns])

@@ -95,3 +95,16 @@ def test_explain():
     assert "[INDEX] NO" in log("/f/[b != 1]") and "[INDEX] NO" in log("/f/[b = 1] or /n") and "[INDEX] PK" in log("/=1")
     assert "ORDERBY DESC" in log("/* | desc /n") and "PLAIN" in log("/* | desc /n") and "SORTER" in log("/* | desc /x")
     assert "[INDEX] NO" in log("/f/[b = 1] | noidx")
+
+
+def test_joins_keep_the_order(spark):
+    rows = [(i, (i * 7) % 50, i % 5) for i in range(50)]
+    left = spark.createDataFrame(rows, "id long, n long, r long").repartition(4)
+    right = spark.createDataFrame([(i, f"name {i}") for i in range(5)], "k long, name string")
+    tables = Tables(spark).register("t", left, "id").register("u", right, "k")
+    got = tables.query("@t/* | /{n,r<u} | desc /n skip 3").collect()
+    assert [r.n for r in got] == list(range(46, -1, -1)) and all(r.r.name for r in got)
+    docs = left.selectExpr("id", "to_json(struct(n, r)) as doc")
+    others = right.selectExpr("k as id", "to_json(struct(name)) as doc")
+    found = query_documents(docs, PathQuery("/* | /{n,r<u} | asc /n").bound, lambda name: others if name == "u" else None)
+    assert [json.loads(r.doc)["n"] for r in found.collect()] == list(range(50))
