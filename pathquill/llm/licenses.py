@@ -9,12 +9,12 @@ without a licence of its own takes the one of the nearest ancestor directory tha
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -148,22 +148,30 @@ def one_of(words: list[str]) -> str:
 
 def can_reach(found, rows: list[tuple[int, str, str, float]], threshold: float):
     """Whether texts with these terms can reach the threshold: a cosine is at most the length of the template's part on them."""
+    tables = []
+    for k in sorted({r[0] for r in rows}):
+        # a constant for Spark, unlike a map of many literals
+        pairs = ";".join(f"{t}:{w * w:.9f}" for j, _, t, w in rows if j == k)
+        tables.append(F.str_to_map(F.lit(pairs), F.lit(";"), F.lit(":")))
 
-    kinds = sorted({r[0] for r in rows})
-    masses: dict[str, list[float]] = {}
-    for j, _, t, w in rows:
-        masses.setdefault(t, [0.0] * len(kinds))[kinds.index(j)] = w * w
-    none = F.array_repeat(F.lit(0.0), len(kinds))
-    table = F.from_json(F.lit(json.dumps(masses)), "map<string,array<double>>")  # a constant, as one expression
+    def mass(held, table):
+        return F.aggregate(held, F.lit(0.0), lambda sum, t: sum + F.coalesce(F.try_element_at(table, t).cast("double"), F.lit(0.0)))
 
     def some(held):
-        total = F.aggregate(held, none, lambda sums, t: F.zip_with(sums, F.coalesce(F.try_element_at(table, t), none), lambda a, b: a + b))
-        return F.exists(total, lambda x: x >= threshold**2 - 1e-6)
+        return reduce(Column.__or__, (mass(held, table) >= threshold**2 - 1e-6 for table in tables))
 
     # the array of one is where the terms are computed once
     return F.exists(F.array(F.array_intersect(found, vocabulary())), some)
 
 
+def reaching(texts: DataFrame, rows: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
+    """``file_id`` of the files whose terms can reach the threshold, as :func:`can_reach` says it, by a join with the fixed templates."""
+    masses = texts.sparkSession.createDataFrame([(k, t, w * w) for k, _, t, w in rows], "template int, term string, mass double")
+    known = texts.select("file_id", F.explode(F.array_intersect(split_terms("text"), vocabulary())).alias("term")).distinct()
+    total = known.join(F.broadcast(masses), "term").groupBy("file_id", "template").agg(F.sum("mass").alias("mass"))
+    return total.where(F.col("mass") >= threshold**2 - 1e-6).select("file_id").distinct()
+
+
 def line_runs(held: DataFrame, rows: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
     """``file_id, row, i, j, unit``: runs of lines, i to j, that can reach the threshold; lines without terms aside.
 
@@ -244,8 +252,9 @@ def license_scan(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     rows, unknown, idf = weighted(*document_counts(docs, "text"))
     short = of_kinds(rows, "header", "title")
     pattern = r"(?i)(?:^|[^a-z0-9\u0080-￿])" + one_of(anchors(rows, threshold)) + r"(?:$|[^a-z0-9\u0080-￿])"
-    # the texts that hold an anchor are read once more as lines and as wholes; distinct lines are few
-    held = docs.where(F.col("text").rlike(pattern)).where(can_reach(split_terms("text"), rows, threshold))
+    # the few texts that can be near a template are written down, and read as lines and as wholes
+    anchored = docs.select("file_id", "text").where(F.col("text").rlike(pattern))
+    held = settle(anchored.join(reaching(anchored, rows, threshold), "file_id", "left_semi"))
     runs = line_runs(held, short, threshold)
     lines = held.select("file_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(F.col("line").rlike(pattern))
     lines = settle(lines.groupBy("file_id", "line").agg(F.count("*").alias("times")))
