@@ -9,7 +9,7 @@ import sys
 import unicodedata
 
 #: Entries of one generation of a word cache: bounds a worker's memory, never a result.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 60_000
 
 
 class Cache(dict):

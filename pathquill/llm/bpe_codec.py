@@ -35,7 +35,7 @@ class Codec:
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
         self.control = re.compile("[\x1c-\x1f]").search
         self.spaces = re.compile(f"[{space}]+").split
-        self.by_fragment = bpe.Cache(self.encode_fragment, 100_000)
+        self.by_fragment = bpe.Cache(self.encode_fragment, 40_000)
         self.by_piece = bpe.Cache(self.encode_piece)
         self.split_added = bpe.added_splitter(self.added).split if self.added else None
 
