@@ -8,8 +8,8 @@ edit similarity, not set overlap alone.
 Candidates are verified: shared labelled k-mers bound the similarity from above; what passes is aligned
 within the band of edits that the threshold allows, and the aligned runs give the shingles
 that both texts have in the same order. Links are texts whose ordered shingle similarity is ``threshold``
-or more. Equal texts are collapsed first. Buckets of more than ``block_words`` words are dealt out as pairs of blocks, so
-that a task holds two blocks at most, however many or long the texts.
+or more. Equal texts are collapsed first. Buckets of more than ``block`` texts or ``block_words`` words are dealt out as pairs
+of blocks, so that a task holds two blocks at most, however many or long the texts.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def link_group(words: list[np.ndarray], keys: np.ndarray, band: np.ndarray, bloc
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, block_words: int = 150_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, block: int = 640, block_words: int = 150_000) -> DataFrame:
     """``doc_id, class_id, kept, n_words`` for every row of ``docs``.
 
     ``class_id`` is the smallest id reachable by links; the document with that id is kept. Case and marks
@@ -222,8 +222,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = reps.select("e1", "e2", "n_words", F.posexplode("keys").alias("band", "key"))
     full = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum(F.xxhash64("e1", "e2").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # buckets of the same members under several sketches are compared once
-    full = full.groupBy("n", "words", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("words", "at.band", "at.key")
-    met = keyed.join(full, ["band", "key"]).withColumn("blocks", F.ceil(F.col("words") / block_words).cast("int"))
+    full = full.groupBy("n", "words", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("n", "words", "at.band", "at.key")
+    met = keyed.join(full, ["band", "key"]).withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") / block_words)).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("e1", "e2"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = met.select("band", "key", "e1", "e2", "block", other).select("band", "key", "e1", "e2", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
