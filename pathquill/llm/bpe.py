@@ -81,11 +81,17 @@ def newer_marks() -> re.Pattern:
     return re.compile("([" + "".join(chr(c) for run in NEWER_MARKS.split() for c in code_points(run)) + "])")
 
 
+@functools.cache
+def possible_marks() -> re.Pattern:
+    """Finds something wherever :func:`newer_marks` does, much faster: classes of many ranges above U+FFFF are tried range by range."""
+    return re.compile("[" + "".join(chr(c) for run in NEWER_MARKS.split() for c in code_points(run) if c <= 0xFFFF) + "\U00010000-\U0010ffff]")
+
+
 def composed(text: str) -> str:
     """NFC as the libraries know it."""
     if text.isascii():
         return text
-    if newer_marks().search(text):
+    if possible_marks().search(text) and newer_marks().search(text):
         return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(newer_marks().split(text)))
     return unicodedata.normalize("NFC", text)
 
@@ -100,13 +106,13 @@ def lowered(text: str) -> str:
 
 
 @functools.cache
-def unicode_class(letter: str) -> str:
-    """Ranges of a regular expression's character class for a general category letter."""
+def unicode_class(letter: str, top: int = sys.maxunicode) -> str:
+    """Ranges of a regular expression's character class for a general category letter, up to the code point ``top``."""
     later = set()
     for run in LATER[letter].split():
         low, high = (int(x, 16) for x in run.split("-"))
         later.update(c for c in range(low, high + 1) if unicodedata.category(chr(c)) == "Cn")
-    inside = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == letter or c in later]
+    inside = [c for c in range(top + 1) if unicodedata.category(chr(c))[0] == letter or c in later]
     starts = [c for k, c in enumerate(inside) if not k or inside[k - 1] != c - 1]
     ends = [c for k, c in enumerate(inside) if k + 1 == len(inside) or inside[k + 1] != c + 1]
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))

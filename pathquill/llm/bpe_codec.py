@@ -2,7 +2,8 @@
 
 A pair of bytes that stands next to each other inside no vocabulary token can never end up in one
 token, so a word may be cut between them for certain. The fragments are encoded independently and
-their ids concatenated. Fragments are short and recur far more than words do, so most come from a cache.
+their ids concatenated. Texts are taken in blocks: what a block's different pieces need and no cache
+holds is encoded once, all fragments together, one merge of each fragment a round.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import hashlib
 import heapq
 import re
 import struct
+import sys
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,73 +22,218 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe
 from .common import map_texts, table
 
+#: Characters of texts whose pieces are looked up together, and of new pieces that are encoded together.
+TEXT_BLOCK, PIECE_BLOCK = 1 << 19, 1 << 17
+#: Entries of one generation of the piece cache, to which a block of texts may add.
+CACHE_ENTRIES = 40_000
+#: Longer fragments are merged one by one with a heap.
+LONG_FRAGMENT = 48
+
 
 class Codec:
     """Encodes and decodes texts under a vocabulary file with word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         vocab, self.pairs, self.added, self.suffix = bpe.load(path)
         self.token = {i: t for t, i in (vocab | self.added).items()}
         symbols = bpe.byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + self.suffix] for s in symbols]
-        self.cut = forced_cuts(vocab, self.suffix)
-        letters, numbers, space = bpe.unicode_class("L"), bpe.unicode_class("N"), bpe.SPACE
-        # contractions, letters, single numbers, other marks
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
+        self.inner = np.array([vocab[s] for s in symbols])
+        self.last = np.array([vocab[s + self.suffix] for s in symbols])
+        self.cut = np.frombuffer(forced_cuts(vocab, self.suffix), bool)
+        self.merges = Merges(self.pairs)
+        self.words, self.narrow_words = word_finder(), word_finder(0xFFFF)
+        self.wide = re.compile("[\U00010000-\U0010ffff]").search
         self.control = re.compile("[\x1c-\x1f]").search
-        self.spaces = re.compile(f"[{space}]+").split
-        self.by_fragment = bpe.Cache(self.encode_fragment, 40_000)
-        self.by_piece = bpe.Cache(self.encode_piece)
+        self.spaces = re.compile(f"[{bpe.SPACE}]+").split
         self.split_added = bpe.added_splitter(self.added).split if self.added else None
-
-    def encode_fragment(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
-        """Ids of symbols, by their ids, that no forced cut divides."""
-        return tuple(merged(list(fragment), self.pairs))
-
-    def encode_word(self, word: str) -> list[int]:
-        raw = word.encode()
-        ids = [self.inner[b] for b in raw]
-        ids[-1] = self.last[raw[-1]]
-        out: list[int] = []
-        start = 0
-        for i in range(1, len(raw)):
-            if self.cut[raw[i - 1] << 8 | raw[i]]:
-                out += self.by_fragment[tuple(ids[start:i])]
-                start = i
-        out += self.by_fragment[tuple(ids[start:])]
-        return out
-
-    def encode_piece(self, piece: str) -> tuple[bytes, str]:
-        """Packed ids of a piece without white space, and its decoded text."""
-        ids = [i for word in self.words(piece) for i in self.encode_word(word)]
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-
-    def encode_plain(self, text: str) -> list[tuple[bytes, str]]:
+        # added tokens by names that no piece has; packed ids and decoded texts of pieces, in two generations
+        self.fixed = {" " + t: struct.pack("<I", i) for t, i in self.added.items()}, {" " + t: t for t in self.added}
+        self.entries = entries
+        self.ids, self.texts = map(dict, self.fixed)
+        self.old_ids: dict[str, bytes] = {}
+        self.old_texts: dict[str, str] = {}
+        self.long: list[str] = []
+
+    def plain_pieces(self, text: str) -> list[str]:
         text = bpe.lowered(bpe.composed(text))
-        pieces = self.spaces(text) if self.control(text) else text.split()
-        return list(map(self.by_piece.__getitem__, pieces))
+        return [p for p in self.spaces(text) if p] if self.control(text) else text.split()
 
-    def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
-        """(packed ids, decoded text) of a text's pieces, in order; some may be empty."""
+    def pieces(self, text: str) -> list[str]:
+        """A text between white space, in order; added tokens come with a space before them."""
         if not self.added or not any(a in text for a in self.added):
-            return self.encode_plain(text)
-        out = []
-        for part in self.split_added(text):
-            if part in self.added:
-                out.append((struct.pack("<I", self.added[part]), part))
-            else:
-                out += self.encode_plain(part)
-        return out
+            return self.plain_pieces(text)
+        return [p for part in self.split_added(text) for p in ([" " + part] if part in self.added else self.plain_pieces(part))]
+
+    def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """(packed ids, decoded text) of each text, in order."""
+        for block in blocks(texts, TEXT_BLOCK):
+            cut = list(map(self.pieces, block))
+            self.learn(set().union(*cut))
+            for pieces in cut:
+                yield b"".join(map(self.ids.__getitem__, pieces)), " ".join(map(self.texts.__getitem__, pieces))
+            self.forget()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Fills the caches for all ``pieces``."""
+        pieces.difference_update(self.ids)
+        for p in pieces & self.old_ids.keys():
+            self.ids[p], self.texts[p] = self.old_ids[p], self.old_texts[p]
+        pieces.difference_update(self.old_ids)
+        for new in blocks(pieces, PIECE_BLOCK):
+            self.encode_pieces(new)
+
+    def forget(self) -> None:
+        """A full generation becomes the old one; very long pieces stay in none."""
+        if len(self.ids) < self.entries and not self.long:
+            return
+        for p in self.long:
+            del self.ids[p], self.texts[p]
+        self.long.clear()
+        if len(self.ids) >= self.entries:
+            self.old_ids, self.old_texts = self.ids, self.texts
+            self.ids, self.texts = map(dict, self.fixed)
+
+    def encode_pieces(self, pieces: list[str]) -> None:
+        """Puts the packed ids and decoded texts of pieces without white space into the caches."""
+        words = list(map(self.words if self.wide("".join(pieces)) else self.narrow_words, pieces))
+        raw = np.frombuffer(" ".join(w for ws in words for w in ws).encode(), np.uint8)
+        ids, ends = self.encode_words(raw)
+        # where the words of each piece end
+        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+        packed = ids.astype("<u4").tobytes()
+        tokens = [self.token[i] for i in ids.tolist()]
+        for p, a, b in zip(pieces, at.tolist(), at[1:].tolist(), strict=False):
+            self.ids[p], self.texts[p] = packed[4 * a : 4 * b], " ".join(tokens[a:b])
+        self.long += [p for p in pieces if len(p) > 200]
+
+    def encode_words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the UTF-8 bytes of words between single spaces, and the number of ids up to the end of each word."""
+        space = raw == 0x20
+        final = np.append(space[1:], True)
+        inside = ~space
+        symbols = np.where(final, self.last[raw], self.inner[raw])[inside]
+        word_ends = np.cumsum(inside)[final]
+        begins = np.zeros(len(symbols), bool)
+        begins[0] = True
+        begins[word_ends[:-1]] = True
+        plain = raw[inside].astype(np.uint16)
+        begins[1:] |= self.cut[plain[:-1] << 8 | plain[1:]]
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(starts, append=len(symbols))
+        for k in np.flatnonzero(sizes > LONG_FRAGMENT).tolist():
+            a, b = starts[k], starts[k] + sizes[k]
+            made = merged_long(symbols[a:b].tolist(), self.pairs)
+            symbols[a:b] = -1
+            symbols[a : a + len(made)] = made
+        short = np.repeat(sizes <= LONG_FRAGMENT, sizes)
+        sizes = sizes[sizes <= LONG_FRAGMENT]
+        symbols[short] = self.merges.merged(symbols[short], np.cumsum(sizes) - sizes)
+        left = symbols >= 0
+        return symbols[left], np.cumsum(left)[word_ends - 1]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(ids for ids, _ in self.encode_parts(text)), "<u4")
+        ((ids, _),) = self.encode_texts([text])
+        return np.frombuffer(ids, "<u4")
 
     def decode(self, ids) -> str:
         """Tokens joined by one space: the vocabulary names no decoder. Unknown ids are skipped."""
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
+class Merges:
+    """Ranks of pairs of ids in an open hash table, looked up for whole arrays."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, pairs: dict[int, tuple[int, int]]):
+        self.made = np.zeros(1 + max((rank for rank, _ in pairs.values()), default=0), np.int64)
+        self.bits = max(10, (len(pairs) * 4).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        for key, slot in zip(keys.tolist(), self.slots(keys).tolist(), strict=True):
+            rank, made = pairs[key]
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & (1 << self.bits) - 1
+            self.keys[slot], self.ranks[slot], self.made[rank] = key, rank, made
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def order(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """``rank << 32 | at`` of the pairs a, b at positions ``at``; NONE where there is no merge."""
+        keys = a << 32 | b
+        slots = self.slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.ranks[slots] << 32 | at, self.NONE)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slots[open_] = slots[open_] + 1 & (1 << self.bits) - 1
+            found = self.keys[slots[open_]]
+            hit = open_[found == keys[open_]]
+            out[hit] = self.ranks[slots[hit]] << 32 | at[hit]
+            open_ = open_[(found != keys[open_]) & (found >= 0)]
+        return out
+
+    def merged(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Ids of fragments that begin at ``starts`` after all merges, -1 where one was merged away.
+
+        Each round takes of each fragment the first pair of the lowest rank.
+        """
+        n = len(ids)
+        if not n:
+            return ids
+        # position n stands beside the fragments' ends; no pair has its id
+        ids = np.append(ids, (1 << 31) - 1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[starts - 1] = after[n - 1] = after[n] = n
+        before[starts] = before[n] = n
+        where = slot = np.arange(n + 1)
+        slot = slot.copy()
+        order = self.order(ids, ids[after], where)
+        while True:
+            best = np.minimum.reduceat(order, starts)
+            on = best < self.NONE
+            hit = best[on]
+            if not len(hit):
+                return ids[:n]
+            i = hit & 0xFFFFFFFF
+            j, h = after[i], before[i]
+            k = after[j]
+            ids[i], ids[j] = self.made[hit >> 32], -1
+            after[i], before[k] = k, i
+            # only fragments with a merge and ids that are left go on
+            sizes = np.diff(starts, append=len(order) - 1)
+            kept = np.append(np.repeat(on, sizes), True) & (ids[where] >= 0)
+            sizes = np.add.reduceat(kept, starts, dtype=np.int64)
+            sizes[-1] -= 1
+            sizes = sizes[on]
+            starts = np.cumsum(sizes) - sizes
+            where, order = where[kept], order[kept]
+            slot[where] = np.arange(len(where))
+            order[slot[i]] = self.order(ids[i], ids[k], i)
+            order[slot[h]] = self.order(ids[h], ids[i], h)
+
+
+def word_finder(top: int = sys.maxunicode):
+    """Finds contractions, letters, single numbers, other marks in texts without code points over ``top``."""
+    letters, numbers = bpe.unicode_class("L", top), bpe.unicode_class("N", top)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{bpe.SPACE}{letters}{numbers}]+").findall
+
+
+def blocks(texts: Iterable[str], size: int) -> Iterator[list[str]]:
+    """Texts in lists of ``size`` characters; the last one of each may pass that."""
+    held: list[str] = []
+    left = size
+    for text in texts:
+        held.append(text)
+        left -= len(text)
+        if left <= 0:
+            yield held
+            held, left = [], size
+    if held:
+        yield held
+
+
 @functools.cache
 def codec_of(path: str) -> Codec:
     """One codec, with its caches, for all tasks of a worker process."""
@@ -103,23 +251,8 @@ def forced_cuts(vocab: dict[str, int], suffix: str) -> bytearray:
     return cut
 
 
-def merged(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
-    """Ids after all merges. Short lists are scanned for the lowest rank; long ones use a heap."""
-    if len(ids) > 48:
-        return merged_long(ids, pairs)
-    while len(ids) > 1:
-        best = None
-        for i in range(len(ids) - 1):
-            hit = pairs.get(ids[i] << 32 | ids[i + 1])
-            if hit and (best is None or hit[0] < best[0]):
-                best, at = hit, i
-        if best is None:
-            break
-        ids[at : at + 2] = [best[1]]
-    return ids
-
-
 def merged_long(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
+    """Ids after all merges, by a heap."""
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(*hit, i, ids[i], ids[i + 1]) for i in range(n - 1) if (hit := pairs.get(ids[i] << 32 | ids[i + 1]))]
@@ -151,9 +284,8 @@ def encode_texts(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
         codec = codec_of(vocabulary)
 
         def run(texts: list[str]):
-            parts = [codec.encode_parts(t) for t in texts]
-            ids = [np.frombuffer(b"".join(i for i, _ in p), "<u4").astype(np.int64) for p in parts]
-            return ids, [" ".join(t for _, t in p if t) for p in parts]
+            made = list(codec.encode_texts(texts))
+            return [np.frombuffer(ids, "<u4").astype(np.int64) for ids, _ in made], [decoded for _, decoded in made]
 
         return run
 
@@ -180,12 +312,10 @@ def codec_digests(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
         def run(texts: list[str]):
             n, a, b, every = [], [], [], []
-            for t in texts:
-                parts = codec.encode_parts(t)
-                ids = b"".join(i for i, _ in parts)
+            for ids, decoded in codec.encode_texts(texts):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(" ".join(x for _, x in parts if x).encode()).hexdigest())
+                b.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
                     every.append(np.frombuffer(ids, "<u4").astype(np.int64))
             return (n, a, b, every) if with_ids else (n, a, b)

@@ -186,6 +186,61 @@ def test_codec(docs, texts):
     assert all(again[k].decoded == whole[k].decoded for k in whole)
 
 
+def test_codec_blocks(monkeypatch):
+    """Small blocks and caches change no result: long and wide words, control marks, added tokens in capitals, pieces that recur."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    odd = ["a" * 300, "ab" * 400, "\U0001d400\U00010428x\U0001f600!", "é" * 60, "it's", "x\x1cy", "<|endoftext|>", "<|ENDOFTEXT|>", "z<|startoftext|>z", "12a3", "ΑΣ", "...", "\u0301"]
+    texts = ["", " ", "\x1c", *(" ".join(rng.choice([*odd, "".join(rng.choices("abcdefgé", k=6))]) for _ in range(rng.randint(1, 30))) for _ in range(100)), "ab" * 5_000]
+    monkeypatch.setattr(bpe_codec, "TEXT_BLOCK", 2000)
+    monkeypatch.setattr(bpe_codec, "PIECE_BLOCK", 100)
+    codec = bpe_codec.Codec(path, entries=20)
+    for text, (ids, decoded) in zip(texts, codec.encode_texts(texts), strict=True):
+        wanted = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == wanted
+        assert decoded == t.decode(wanted, skip_special_tokens=False)
+    assert len(codec.ids) < 2000 and all(len(p) <= 200 for p in codec.ids.keys() | codec.old_ids.keys())
+
+
+def test_codec_cost_of_new_words():
+    """Words that no cache holds cost well under merging them one by one."""
+    import random
+    import time
+
+    path = P.path("word_bpe_49k.json")
+    codec = bpe_codec.Codec(path)
+    rng = random.Random(3)
+    syllables = "the of ing er re on an ti en th ou le ne ät né".split()
+    different = sorted({"".join(rng.choices(syllables, k=rng.randint(3, 7))) for _ in range(20_000)})
+
+    def one_by_one(word):
+        raw = word.encode()
+        ids = [int(codec.inner[b]) for b in raw[:-1]] + [int(codec.last[raw[-1]])]
+        while len(ids) > 1:
+            best = None
+            for i in range(len(ids) - 1):
+                hit = codec.pairs.get(ids[i] << 32 | ids[i + 1])
+                if hit and (best is None or hit[0] < best[0]):
+                    best, at = hit, i
+            if best is None:
+                break
+            ids[at : at + 2] = [best[1]]
+        return ids
+
+    began = time.process_time()
+    wanted = [i for w in different for i in one_by_one(w)]
+    plain = time.process_time() - began
+    began = time.process_time()
+    got = codec.encode(" ".join(different)).tolist()
+    assert time.process_time() - began < 0.7 * plain
+    assert got == wanted
+
+
 def test_newer_letters_and_marks():
     """Capitals of Unicode 16 and 17, and marks that the library doesn't reorder, come out as the library has them."""
     import random
