@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,20 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     kinds = [*(f"{kind}{fold}" for fold in range(FOLDS) for kind in ("neg", "pos")), "every", "tokens"]
     counts = marked.select("_text", "_label", "_fold").mapInArrow(count, "slot long, " + ", ".join(f"{k} long" for k in kinds)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in kinds))
-    got = counts.toArrow()  # SLOTS rows at most
-    dense = {}
-    for c in kinds:
-        dense[c] = np.zeros(SLOTS)
-        dense[c][got.column("slot").to_numpy()] = got.column(c).to_numpy()
+    dense = dict(zip(kinds, dense_counts(counts, kinds), strict=True))
 
     def model_of(folds: list[int]) -> Model:
-        weights = token_weights(sum(dense[f"pos{f}"] for f in folds), sum(dense[f"neg{f}"] for f in folds), dense["every"])
-        return Model(weights, karlin(weights, dense["tokens"]), 0.0)
+        pos, neg = (sum((dense[f"{kind}{f}"] for f in folds), np.zeros(SLOTS)) for kind in ("pos", "neg"))
+        weights = token_weights(pos, neg, dense["every"].astype(float))
+        return Model(weights, karlin(weights, dense["tokens"].astype(float)), 0.0)
 
     # each fold is read with the weights of the others, so that the curve learns from documents its features haven't seen
     model, others = model_of(list(range(FOLDS))), [model_of([f for f in range(FOLDS) if f != fold]) for fold in range(FOLDS)]
     train = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
-    levels = settle(segment_levels(train, others))
+    del dense
+    levels = settled_levels(train, others)
     # ln K: the median best segment of clean documents is the law's median
     clean = levels.where("label = 0 and size(levels) > 0").groupBy("fold").agg(F.percentile(F.array_max("levels"), 0.5).alias("median")).collect()  # a row a fold
     log_k = {r.fold: r.median + math.log(math.log(2)) for r in clean}
@@ -220,6 +219,34 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return model
 
 
+def dense_counts(counts: DataFrame, kinds: list[str], slots: int = SLOTS) -> list[np.ndarray]:
+    """A column of ``slots`` counts for each of ``kinds``, from a table with a row a ``slot``, in as few bytes as they fit.
+
+    Most counts are 0 or small, so each task sends its rows compressed, and the driver unpacks one task's rows at a time.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            if batch.num_rows:
+                columns = [x.to_numpy().astype("<i8") for x in batch.columns]
+                # the low bytes of all counts first, then the next ones: the high ones are zeros
+                planes = np.ascontiguousarray(np.concatenate(columns).view(np.uint8).reshape(-1, 8).T)
+                yield pa.RecordBatch.from_arrays([pa.array([squeeze(planes.tobytes())], pa.binary())], names=["packed"])
+
+    out = [np.zeros(slots, np.uint16) for _ in kinds]
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = counts.select("slot", *kinds).mapInArrow(pack, "packed binary").toArrow().column("packed")
+    for x in rows:
+        planes = np.frombuffer(unpack(x.as_py()), np.uint8).reshape(8, -1)
+        at, *columns = np.ascontiguousarray(planes.T).view("<i8").reshape(1 + len(kinds), -1)
+        for k, column in enumerate(columns):
+            if column.max() > np.iinfo(out[k].dtype).max:
+                out[k] = out[k].astype(np.uint32 if column.max() < 1 << 32 else np.int64)
+            out[k][at] = column
+    return out
+
+
 def bounded(known: DataFrame, most: int = MAX_LABELS) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of their ids: a threshold, so that no task gathers them.
 
@@ -231,8 +258,8 @@ def bounded(known: DataFrame, most: int = MAX_LABELS) -> DataFrame:
     return known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(0.98 * most / n * (1 << 40)))
 
 
-def segment_levels(train: DataFrame, models: list[Model]) -> DataFrame:
-    """``label, fold, words, levels`` of each training document: lambda x - ln n of its segments under its fold's model."""
+def settled_levels(train: DataFrame, models: list[Model]) -> DataFrame:
+    """``label, fold, words, levels`` of each training document, written down: lambda x - ln n of its segments under its fold's model."""
     shared = train.sparkSession.sparkContext.broadcast(models)
 
     def make():
@@ -244,7 +271,9 @@ def segment_levels(train: DataFrame, models: list[Model]) -> DataFrame:
 
         return run
 
-    return map_texts(train, "_id", "_text", "label int, fold int, words long, levels array<double>", make, ["_label", "_fold"])
+    levels = settle(map_texts(train, "_id", "_text", "label int, fold int, words long, levels array<double>", make, ["_label", "_fold"]))
+    shared.destroy()  # the rows are written down; nothing reads the models again
+    return levels
 
 
 def toxic_passages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
